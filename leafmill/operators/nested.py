@@ -233,7 +233,8 @@ def flat_tables(bridge: DataFrame) -> dict[str, DataFrame]:
     """documents, pages, entries and regions as flat tables; each row names its parent and its object."""
     here = bridge.where(F.col("object_id").isNotNull())
     box = F.from_json(_json("bbox"), "array<int>")
-    placed = [box[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]
+    # A damaged box of fewer than four numbers has nulls for what it lacks.
+    placed = [F.get(box, F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]
     return {
         "documents": here.where("kind = 'document'").select("doc_id", "object_id"),
         "pages": here.where("kind = 'page'").select(

@@ -58,7 +58,7 @@ _PAGES = """
         FROM decoded WHERE json_type(j) IN ('ARRAY', 'OBJECT')),
     pages AS (
         SELECT doc_id, CAST(i AS INTEGER) AS pos, json_extract(ps, '$[' || i || ']') AS p
-        FROM page_lists, LATERAL (SELECT unnest(range(json_array_length(ps))) AS i) WHERE json_type(ps) = 'ARRAY'),
+        FROM page_lists, LATERAL (SELECT unnest(range(CAST(json_array_length(ps) AS BIGINT))) AS i) WHERE json_type(ps) = 'ARRAY'),
     entry_lists AS (
         SELECT doc_id, pos, COALESCE(TRY_CAST(CASE WHEN json_type(p) = 'OBJECT' THEN p ->> '$.page_index' END AS INTEGER), pos) AS page_index,
             CASE WHEN json_type(p) = 'ARRAY' THEN p
@@ -67,11 +67,11 @@ _PAGES = """
         FROM pages),
     entries AS (
         SELECT doc_id, page_index, CAST(i AS INTEGER) AS entry_idx, json_extract(es, '$[' || i || ']') AS e
-        FROM entry_lists, LATERAL (SELECT unnest(range(json_array_length(es))) AS i) WHERE json_type(es) = 'ARRAY'),
+        FROM entry_lists, LATERAL (SELECT unnest(range(CAST(json_array_length(es) AS BIGINT))) AS i) WHERE json_type(es) = 'ARRAY'),
     regions AS (
         SELECT doc_id, page_index, entry_idx, CAST(i AS INTEGER) AS region_idx, json_extract(rs, '$[' || i || ']') AS r
         FROM (SELECT doc_id, page_index, entry_idx, json_extract(e, '$.diagram_regions') AS rs FROM entries WHERE json_type(e) = 'OBJECT'),
-            LATERAL (SELECT unnest(range(json_array_length(rs))) AS i) WHERE json_type(rs) = 'ARRAY'
+            LATERAL (SELECT unnest(range(CAST(json_array_length(rs) AS BIGINT))) AS i) WHERE json_type(rs) = 'ARRAY'
         UNION ALL
         SELECT doc_id, page_index, entry_idx, 0, json_extract(e, '$.diagram_regions')
         FROM entries WHERE json_type(json_extract(e, '$.diagram_regions')) = 'OBJECT')
