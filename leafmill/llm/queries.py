@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import language, lookalike, markup, tokenizer
+from leafmill.llm import language, lookalike, markup, ocr, tokenizer
 from leafmill.sources import table
 
 
@@ -61,6 +61,17 @@ def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
     return _assigned(spark, folder).drop("label").distinct()
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return ocr.found(docs, ocr.learn(docs))
+
+
+def p5_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of every document, in paragraphs and without noise where it was scanned."""
+    docs = table(spark, folder, "documents")
+    return ocr.texts(docs, ocr.learn(docs))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode(table(spark, folder, "documents"))
 
@@ -78,6 +89,8 @@ QUERIES = {
     "p3_clean": p3_clean,
     "p4_found": p4_found,
     "p4_languages": p4_languages,
+    "p5_found": p5_found,
+    "p5_texts": p5_texts,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
 }
