@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import language, lookalike, markup, ocr, tokenizer
+from leafmill.llm import language, lookalike, markup, ocr, packing, splitting, tokenizer
+from leafmill.session import cut_lineage
 from leafmill.sources import table
 
 
@@ -81,6 +82,28 @@ def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.decode(tokenizer.encode(table(spark, folder, "documents")))
 
 
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    limits = table(spark, folder, "model_limits").where("purpose = 'pack'")
+    sizes = cut_lineage(tokenizer.encode(table(spark, folder, "documents"), ids=False))
+    return packing.pack(sizes, limits, ["doc_id"]), limits
+
+
+def p8_packs(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document, for each capacity; pieces from 1 where a text was divided."""
+    return _packed(spark, folder)[0]
+
+
+def p8_usage(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.usage(*_packed(spark, folder))
+
+
+def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every document above a limit, for each limit."""
+    limits = table(spark, folder, "model_limits").where("purpose = 'split'")
+    return splitting.split(table(spark, folder, "documents"), limits)
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_classes": p2_classes,
@@ -93,6 +116,9 @@ QUERIES = {
     "p5_texts": p5_texts,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
+    "p8_packs": p8_packs,
+    "p8_usage": p8_usage,
+    "p9_pieces": p9_pieces,
 }
 
 SQL = {
