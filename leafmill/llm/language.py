@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.sampling import bounded_sample
+
 #: Labelled rows that the classifiers are fitted on.
 SAMPLE = 4000
 BITS, BUCKETS, LONGEST = 15, 1 << 16, 4
@@ -221,14 +223,11 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     return model
 
 
-def fit_on(documents: DataFrame, translations: DataFrame | None = None, sample: int = SAMPLE) -> Model:
-    """A model fitted on at most ``sample`` labelled documents, spread by a hash of their id."""
-    rows = (
-        documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), label_column(F.col("lang")).alias("label"))
-        .where(F.col("label").isin(*LANGUAGES) & (F.length("text") >= 60))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        .select("label", F.substring("text", 1, 4000).alias("text")).collect()
-    )
+def fit_on(documents: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model fitted on about ``sample`` labelled documents, spread by a hash of their id."""
+    labelled = documents.withColumn("label", label_column(F.col("lang"))).where(F.col("label").isin(*LANGUAGES))
+    text = F.substring(F.col("text").cast("string"), 1, 4000).alias("text")
+    rows = bounded_sample(labelled.select("doc_id", "label", text).where(F.length("text") >= 60), sample, labelled.count())
     return fit([(r.text, LANGUAGES.index(r.label)) for r in rows])
 
 
