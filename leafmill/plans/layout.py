@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.operators import layout
 from leafmill.functions import geometry as G
+from leafmill.operators import layout
 from leafmill.sources import table
 
+#: Pixels by which an entry may stand out of the one that holds it: lines of a page lie so near.
+SLACK = 90.0
+
 
 def _entries(spark, folder):
     return layout.entries(table(spark, folder, "page_entries"))
@@ -25,8 +28,8 @@ def entry_orders(spark, folder):
 
 
 def entry_overlaps(spark, folder):
-    """Pairs of entries that overlap by four tenths."""
-    return layout.overlapping(_entries(spark, folder))
+    """Pairs of entries that overlap by a hundredth."""
+    return layout.overlapping(_entries(spark, folder), 0.01)
 
 
 def page_overlaps(spark, folder):
@@ -36,13 +39,13 @@ def page_overlaps(spark, folder):
 def entry_owner(spark, folder):
     """The first other entry around each entry of recovered text."""
     e = _entries(spark, folder)
-    return layout.owners(e.where("source is not null"), e.where("source is null"), 20.0)
+    return layout.owners(e.where("source is not null"), e.where("source is null"), SLACK)
 
 
 def entry_outside(spark, folder):
     """Entries of recovered text that no other entry contains."""
     e = _entries(spark, folder)
-    return layout.outside(e.where("source is not null"), e.where("source is null"), 20.0)
+    return layout.outside(e.where("source is not null"), e.where("source is null"), SLACK)
 
 
 def room_below(spark, folder):
@@ -124,7 +127,7 @@ _E = """e AS (
 _SX = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0)"
 _SY = "greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)"
 _PAIR = "e a JOIN e b ON a.doc_id = b.doc_id AND a.page_index = b.page_index"
-_IN = "a.x1 >= b.x1 - 20 AND a.y1 >= b.y1 - 20 AND a.x2 <= b.x2 + 20 AND a.y2 <= b.y2 + 20"
+_IN = f"a.x1 >= b.x1 - {SLACK} AND a.y1 >= b.y1 - {SLACK} AND a.x2 <= b.x2 + {SLACK} AND a.y2 <= b.y2 + {SLACK}"
 _BODY = """CASE lower(category) WHEN 'title' THEN '# ' || t WHEN 'section-header' THEN '## ' || t WHEN 'equation-block' THEN '$$' || t || '$$' WHEN 'formula' THEN '$$' || t || '$$'
     WHEN 'code-block' THEN '```' || chr(10) || t || chr(10) || '```' WHEN 'caption' THEN '*' || t || '*' WHEN 'footnote' THEN '> ' || t ELSE t END"""
 
@@ -143,7 +146,7 @@ SQL = {
         CAST(row_number() OVER (PARTITION BY doc_id, page_index ORDER BY CASE rotation WHEN 90 THEN u WHEN 270 THEN -u ELSE v END, CASE rotation WHEN 90 THEN -w WHEN 270 THEN v ELSE u END, entry_idx) - 1 AS INTEGER) AS place FROM k""",
     "entry_overlaps": f"""WITH {_E}, p AS (SELECT a.doc_id, a.page_index, a.entry_idx AS a_entry_idx, b.entry_idx AS b_entry_idx, CAST({_SX} * {_SY} AS DOUBLE) AS i,
         CAST((a.x2 - a.x1) * (a.y2 - a.y1) AS DOUBLE) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM {_PAIR} AND a.entry_idx < b.entry_idx WHERE {_SX} > 0 AND {_SY} > 0)
-        SELECT doc_id, page_index, a_entry_idx, b_entry_idx, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) >= 0.4""",
+        SELECT doc_id, page_index, a_entry_idx, b_entry_idx, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) >= 0.01""",
     "page_overlaps": f"""WITH {_E.replace('e AS', 'e0 AS', 1)}, e AS (SELECT doc_id, page_index, entry_idx, CAST(round_even(x1 / zoom * 12700, 0) AS BIGINT) AS x1, CAST(round_even(y1 / zoom * 12700, 0) AS BIGINT) AS y1,
         CAST(round_even(x2 / zoom * 12700, 0) AS BIGINT) AS x2, CAST(round_even(y2 / zoom * 12700, 0) AS BIGINT) AS y2 FROM e0)
         SELECT a.doc_id, a.page_index, count(*) AS n_overlaps FROM {_PAIR} AND a.entry_idx < b.entry_idx WHERE {_SX} > 9144 AND {_SY} > 9144 GROUP BY ALL""",
