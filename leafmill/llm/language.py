@@ -80,22 +80,27 @@ def label_column(label: Column) -> Column:
 
 
 def codewords(languages: int = len(LANGUAGES), bits: int = BITS) -> np.ndarray:
-    """One row of +1/-1 for each language: the dichotomies that, taken one by one, keep the nearest two rows furthest apart."""
+    """One row of +1/-1 for each language: dichotomies taken one by one, then exchanged while that moves near rows apart."""
     every = np.array([[1 if (mask >> k) & 1 else -1 for k in range(languages)] for mask in range(1, 1 << (languages - 1))])
+    apart = (every[:, :, None] != every[:, None, :])[:, *np.triu_indices(languages, 1)].astype(float)
+
+    def nearness(gap: np.ndarray) -> float:
+        return float((0.5**gap).sum())
+
     chosen: list[int] = []
-    gap = np.zeros((languages, languages))
+    gap = np.zeros(apart.shape[1])
     for _ in range(bits):
-        best, at = None, -1
-        for i, column in enumerate(every):
-            if i in chosen:
-                continue
-            new = gap + (column[:, None] != column[None, :])
-            upper = np.sort(new[np.triu_indices(languages, 1)])
-            score = (upper[0], upper.sum(), -abs(column.sum()))
-            if best is None or score > best:
-                best, at = score, i
-        chosen.append(at)
-        gap += every[at][:, None] != every[at][None, :]
+        best = min((k for k in range(len(every)) if k not in chosen), key=lambda k: nearness(gap + apart[k]))
+        chosen.append(best)
+        gap = gap + apart[best]
+    changed = True
+    while changed:
+        changed = False
+        for i, old in enumerate(chosen):
+            rest = gap - apart[old]
+            new = min((k for k in range(len(every)) if k not in chosen or k == old), key=lambda k: nearness(rest + apart[k]))
+            if nearness(rest + apart[new]) < nearness(gap) - 1e-12:
+                chosen[i], gap, changed = new, rest + apart[new], True
     return every[chosen].T.astype(np.float32)
 
 

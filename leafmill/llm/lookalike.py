@@ -165,19 +165,17 @@ class Rewriter:
         self.may_match = regex.compile("[" + "".join(map(regex.escape, ends)) + "]").search if ends else lambda text: None
 
     def __call__(self, text: str) -> str:
-        if self.may_match(text) is None:
-            return text
-        out, at = [], 0
-        for last, (length, best) in self.automaton.iter_long(text):
-            start = last + 1 - length
-            out.append(text[at:start])
-            out.append(best)
-            at = last + 1
-        if not out:
-            return text
-        out.append(text[at:])
+        if self.may_match(text) is not None:
+            out, at = [], 0
+            for last, (length, best) in self.automaton.iter_long(text):
+                out.append(text[at : last + 1 - length])
+                out.append(best)
+                at = last + 1
+            if out:
+                out.append(text[at:])
+                text = "".join(out)
         # Marks on one letter in another order look the same.
-        return unicodedata.normalize("NFC", "".join(out))
+        return text if text.isascii() else unicodedata.normalize("NFC", text)
 
 
 @functools.lru_cache(maxsize=4)

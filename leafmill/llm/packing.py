@@ -29,67 +29,66 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Combinations hold up to so many different sizes; the window is this share of the capacity; sizes tried in combinations.
-DEPTH, WINDOW, TRIED = 3, 0.01, 96
+#: The window is this share of the capacity; sizes of most volume tried between two others; sizes tried to fill a rest.
+WINDOW, FILLERS, EACH = 0.002, 3, 2
 SLOTS = 512
 
 
-def nnls(columns: np.ndarray, wanted: np.ndarray, weight: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 of least weighted squared error of columns @ x against wanted: cyclic coordinate descent on the normal equations."""
-    scaled = columns * weight[:, None]
-    gram, right = scaled.T @ scaled, scaled.T @ (wanted * weight)
-    x = np.zeros(columns.shape[1])
-    diagonal = np.maximum(np.diag(gram), 1e-12)
-    slope = -right
+def nnls(columns: list[dict[int, int]], wanted: dict[int, float], weight: dict[int, float], rounds: int = 60) -> list[float]:
+    """x >= 0 of least weighted squared error of the columns' sum against wanted; columns name few rows each, so each step of the cyclic coordinate descent touches those only."""
+    left = dict(wanted)
+    parts = [[(s, k, k * weight[s] ** 2) for s, k in c.items()] for c in columns]
+    norms = [sum(k * kw for _, k, kw in p) for p in parts]
+    x = [0.0] * len(columns)
     for _ in range(rounds):
         moved = 0.0
-        for j in range(len(x)):
-            new = max(0.0, x[j] - slope[j] / diagonal[j])
-            if new != x[j]:
-                moved = max(moved, abs(new - x[j]) / (1 + x[j]))
-                slope += gram[:, j] * (new - x[j])
+        for j, own in enumerate(parts):
+            step = sum(kw * left[s] for s, _, kw in own) / norms[j]
+            new = max(0.0, x[j] + step)
+            step = new - x[j]
+            if step:
                 x[j] = new
-        if moved < 1e-4:
+                moved = max(moved, abs(step) / (1 + new))
+                for s, k, _ in own:
+                    left[s] -= k * step
+        if moved < 1e-3:
             break
     return x
 
 
 def combinations(sizes: np.ndarray, counts: np.ndarray, capacity: int, window: int) -> list[dict[int, int]]:
-    """Multisets of at most DEPTH different sizes whose sum lies in (capacity - window, capacity]; sizes that hold most of the volume are tried."""
-    order = np.argsort(-sizes * counts)[:TRIED]
-    tried = sorted((int(s) for s in sizes[order]), reverse=True)
-    found: list[dict[int, int]] = []
-    seen: set[tuple] = set()
-
-    def add(parts: dict[int, int]) -> None:
-        key = tuple(sorted(parts.items()))
-        if key not in seen:
-            seen.add(key)
-            found.append(parts)
-
-    for a in tried:
-        for i in {1, 2, 3, capacity // a}:
+    """Multisets of at most three different sizes whose sum lies in (capacity - window, capacity]: for every size, alone or repeated, with the sizes that fill what it leaves, and with one of the FILLERS of most volume between."""
+    found: dict[tuple, dict[int, int]] = {}
+    fillers = [int(s) for s in sizes[np.argsort(-sizes * counts)][:FILLERS]]
+
+    def below(rest: int, most: int) -> list[int]:
+        """The largest sizes that leave less than the window of ``rest``, the most frequent first."""
+        low, high = np.searchsorted(sizes, rest - window, "right"), np.searchsorted(sizes, rest, "right")
+        return [int(sizes[k]) for k in low + np.argsort(-counts[low:high])[:most]]
+
+    def add(*parts: tuple[int, int]) -> None:
+        whole: dict[int, int] = {}
+        for s, k in parts:
+            whole[s] = whole.get(s, 0) + k
+        found.setdefault(tuple(sorted(whole.items())), whole)
+
+    for a in map(int, sizes[::-1]):
+        for i in dict.fromkeys((1, 2, capacity // a)):
             rest = capacity - i * a
             if i < 1 or rest < 0:
                 continue
             if rest < window:
-                add({a: i})
-                continue
-            for b in tried:
-                if b >= a or b > rest:
-                    continue
-                j = rest // b
-                if rest - j * b < window:
-                    add({a: i, b: j})
-                elif DEPTH > 2:
-                    for j2 in {1, j}:
-                        left = rest - j2 * b
-                        k = np.searchsorted(-np.array(tried), -left)
-                        if k < len(tried) and left - tried[k] < window and tried[k] not in (a, b):
-                            add({a: i, b: j2, tried[k]: 1})
-        if len(found) > 6000:
-            break
-    return found
+                add((a, i))
+            for b in below(rest, EACH):
+                add((a, i), (b, 1))
+            for b in fillers:
+                for j in dict.fromkeys((1, rest // b)):
+                    if j and j * b <= rest:
+                        if rest - j * b < window:
+                            add((a, i), (b, j))
+                        for c in below(rest - j * b, 1):
+                            add((a, i), (b, j), (c, 1))
+    return list(found.values())
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -113,17 +112,11 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
         sizes = np.array(sorted(left))
         counts = np.array([left[s] for s in sizes], float)
         found = combinations(sizes, counts, capacity, max(1, round(WINDOW * capacity)))
-        if found:
-            at = {int(s): i for i, s in enumerate(sizes)}
-            columns = np.zeros((len(sizes), len(found)))
-            for j, parts in enumerate(found):
-                for s, k in parts.items():
-                    columns[at[s], j] = k
-            times = nnls(columns, counts, sizes / capacity)
-            for j in np.argsort(-times):
-                n = min(int(times[j] + 0.5), *(left.get(s, 0) // k for s, k in found[j].items()))
-                if n > 0:
-                    repeat(found[j], n)
+        times = nnls(found, dict(left), {s: s / capacity for s in left})
+        for j in sorted(range(len(found)), key=lambda j: -times[j]):
+            n = min(int(times[j] + 0.5), *(left.get(s, 0) // k for s, k in found[j].items()))
+            if n > 0:
+                repeat(found[j], n)
     while left:
         descending = sorted(left, reverse=True)
         parts: dict[int, int] = {}
