@@ -142,10 +142,10 @@ def pack(items: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
     capacities = [(int(r.limit_id), int(r.max_tokens)) for r in limits.select("limit_id", "max_tokens").limit(1000).collect() if r.max_tokens and r.max_tokens > 0]
     if not capacities:
         return spark.createDataFrame([], items.select(F.lit(0).alias("limit_id"), F.lit(0).cast("long").alias("container"), *keys, F.lit(0).alias("piece"), F.lit(0).alias("n_tokens")).schema)
-    table = spark.createDataFrame(capacities, "limit_id int, capacity int")
+    each_limit = F.explode(F.array(*(F.struct(F.lit(i).cast("int").alias("limit_id"), F.lit(c).cast("int").alias("capacity")) for i, c in capacities))).alias("limit")
     size = F.coalesce(F.col("n_tokens"), F.lit(0)).cast("int")
     slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
-    each = items.select(*keys, size.alias("n_tokens"), slot.alias("slot")).join(F.broadcast(table))
+    each = items.select(*keys, size.alias("n_tokens"), slot.alias("slot"), each_limit).select("*", "limit.*").drop("limit")
     whole = F.when(F.col("n_tokens") > F.col("capacity"), (F.col("n_tokens") / F.col("capacity")).cast("int")).otherwise(F.lit(0))
     each = each.withColumn("full", whole).withColumn("size", F.col("n_tokens") - F.col("full") * F.col("capacity"))
 
