@@ -114,3 +114,25 @@ def span_style(flags: Column, font: Column, colour: Column) -> list[Column]:
     italic = (flags.bitwiseAND(2) != 0) | low.rlike("italic|oblique")
     part = lambda n: F.shiftright(colour, n).bitwiseAND(255)
     return [bold.alias("bold"), italic.alias("italic"), part(16).alias("red"), part(8).alias("green"), part(0).alias("blue")]
+
+
+def markdown_rows(text: Column) -> Column:
+    """Rows of cells of a Markdown table: lines with a bar, without rules, edge cells that are empty dropped."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("|")) & ~x.rlike(r"^[\s|:-]+$"))
+    cells = F.transform(lines, lambda x: F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"))
+    return F.filter(F.transform(cells, lambda r: F.transform(r, lambda c: F.trim(c))), lambda r: F.exists(r, lambda c: c != ""))
+
+
+def emphasised(text: str | None, share: float = 0.5) -> tuple[bool, bool]:
+    """bold and italic: whether tags of either stand around a ``share`` of a block's text."""
+    depth, covered, total = {"bold": 0, "italic": 0}, {"bold": 0, "italic": 0}, 0
+    kinds = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic"}
+    for tag, closing, _, data in _tokens(text or ""):
+        if tag in kinds:
+            depth[kinds[tag]] = max(0, depth[kinds[tag]] + (-1 if closing else 1))
+        elif data:
+            n = len("".join(data.split()))
+            total += n
+            for kind in covered:
+                covered[kind] += n if depth[kind] else 0
+    return total > 0 and covered["bold"] >= share * total, total > 0 and covered["italic"] >= share * total

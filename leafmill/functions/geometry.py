@@ -73,3 +73,28 @@ def third(x1: Column, x2: Column, width: Column) -> Column:
     """left, center or right by the third of the page that a box's centre lies in; left for a page without width."""
     share = F.try_divide((x1 + x2) / 2, F.nullif(width, F.lit(0.0)))
     return F.when(share > 2 / 3, "right").when(share >= 1 / 3, "center").otherwise("left")
+
+
+def estimated_lines(text: Column, width: Column, zoom: Column, wide: Column) -> Column:
+    """Lines that a text takes in a box: by its newlines, or by seven pixels a character and zoom, twice that for the ``wide`` ones; 50 at most, 1 for no text."""
+    z = F.greatest(zoom, F.lit(1.0))
+    ratio = (F.length(text) + wide) * 7.0 * z / F.greatest(width.cast("double"), F.lit(1.0))
+    by_width = F.least(F.greatest(F.ceil(ratio - 0.25), F.lit(1)), F.lit(50))
+    return F.when(F.coalesce(text, F.lit("")) == "", 1).otherwise(F.greatest(F.regexp_count(text, F.lit("\n")) + 1, by_width)).cast("int")
+
+
+def estimated_size(height: Column, lines: Column, zoom: Column, default: float = 11.0) -> Column:
+    """Font size in points by the height of a line; the default where that lies outside 6 to 96."""
+    size = F.greatest(height, F.lit(0)) / F.greatest(lines, F.lit(1)) / F.greatest(zoom, F.lit(1e-6)) * 0.7
+    return F.when(size.between(6.0, 96.0), F.bround(size, 1)).otherwise(default)
+
+
+def is_container(height_pt: Column, lines: Column, line_pt: Column, ratio: float = 7.0) -> Column:
+    """True for a box far higher than its lines need: it belongs to something around the table."""
+    return (height_pt > 0) & (lines > 0) & (line_pt > 0) & (height_pt > lines * line_pt * ratio)
+
+
+def recentred(x: Column, width: Column, natural: Column) -> list[Column]:
+    """x and width of a box narrowed to its natural width about its centre; unchanged if it isn't wider."""
+    narrower = (width > 0) & (natural > 0) & (natural < width)
+    return [F.when(narrower, x + F.floor((width - natural) / 2)).otherwise(x), F.when(narrower, natural).otherwise(width)]

@@ -55,10 +55,14 @@ def width_of(cells: list[Cell]) -> int:
     return sum(c.colspan for c in cells)
 
 
+def _plain(rows: list[Row]) -> bool:
+    return all(c.colspan == c.rowspan == 1 for cells, _ in rows for c in cells)
+
+
 def place(rows: list[Row], columns: int) -> Grid:
     """Every row's cells into its free squares from the left; what finds none is left out, spans are cut at the borders and at squares already taken."""
     grid = Grid(np.full((len(rows), columns), FREE, np.int32), [])
-    plain = all(c.colspan == c.rowspan == 1 for cells, _ in rows for c in cells)
+    plain = _plain(rows)
     for r, (cells, header) in enumerate(rows):
         at = 0
         if plain:
@@ -220,6 +224,10 @@ def _parallel(cells: list[Cell], least: int, longest: int = 120) -> list[Cell]:
 def grid_width(rows: list[Row]) -> int:
     """The most frequent width that rows cover, first seen on ties, but never less than the last filled square, nor more than the widest row or MOST_COLUMNS."""
     widest = min(max((width_of(cells) for cells, _ in rows), default=1) or 1, MOST_COLUMNS)
+    if _plain(rows):
+        covered = Counter(min(len(cells), widest) for cells, _ in rows)
+        last = max((k + 1 for cells, _ in rows for k, c in enumerate(cells[:widest]) if c.text.strip()), default=0)
+        return max(1, min(widest, max(covered.most_common(1)[0][0] if covered else 1, last)))
     trial = place(rows, widest)
     covered = Counter((trial.owner != FREE).sum(1).tolist())
     last = max((p.col + p.colspan for p in trial.cells if p.cell.text.strip()), default=0)
@@ -228,6 +236,8 @@ def grid_width(rows: list[Row]) -> int:
 
 def join_repeated_labels(grid: Grid) -> None:
     """A header's first cell and an equal one below it become one cell over both rows."""
+    if not any(p.header and p.col == 0 for p in grid.cells):
+        return
     by_place = {(p.row, p.col): p for p in grid.cells}
     for r in range(grid.rows - 1):
         top, low = by_place.get((r, 0)), by_place.get((r + 1, 0))
@@ -238,6 +248,8 @@ def join_repeated_labels(grid: Grid) -> None:
 
 def close_bottom_gaps(grid: Grid) -> None:
     """A cell over several rows that ends above the bottom, with nothing but free squares below, is stretched to the bottom."""
+    if not any(p.rowspan > 1 for p in grid.cells):
+        return
     for c in range(grid.columns):
         used = np.flatnonzero(grid.owner[:, c] != FREE)
         if not len(used) or used[-1] == grid.rows - 1:
@@ -287,23 +299,35 @@ def health(text: str | None, truncated: bool = False, ruled: int = 0, least_plac
     return out
 
 
-_WIDE = re.compile("[ᄀ-ᅟ⺀-꓏가-힣豈-﫿︰-﹏＀-｠￠-￦]")
+_EAST_ASIAN = "ᄀ-ᅟ⺀-꓏가-힣豈-﫿︰-﹏＀-｠￠-￦"
+_WIDE, _BREAKS = re.compile(f"[{_EAST_ASIAN}]"), re.compile(rf"[\s{_EAST_ASIAN}]+")
 
 
 def display_width(text: str) -> int:
-    """Columns of a terminal that the longest line takes; East Asian characters take two."""
-    return max((len(line) + len(_WIDE.findall(line)) for line in text.split("\n")), default=0)
+    """Columns of a terminal that a text takes; East Asian characters take two."""
+    return len(text) + len(_WIDE.findall(text))
+
+
+def longest_word(text: str) -> int:
+    """Width of the longest run without a blank or an East Asian character, between which lines break."""
+    return max((display_width(w) for w in _BREAKS.split(text)), default=0)
+
+
+def least_width(text: str) -> int:
+    """Width below which a text becomes a strip: labels to 16 columns take two lines at most, longer ones 16 lines, but never ask for more than 22 columns."""
+    widths = [display_width(line.strip()) for line in text.split("\n")]
+    return max((-(-w // 2) if w <= 16 else min(22, -(-w // 16)) for w in widths), default=0)
 
 
 def column_weights(grid: Grid) -> list[int]:
-    """For each column the upper quartile of its texts' widths above one, at least its longest word; texts over several columns are shared out."""
+    """For each column the upper quartile of its texts' widths above one, at least its longest word and its least width; texts over several columns are shared out."""
     parts: list[list[int]] = [[] for _ in range(grid.columns)]
     floor = [1] * grid.columns
     for p in grid.anchored():
-        word = max((display_width(w) for w in re.split(r"[\s㐀-鿿]+", p.cell.text) if w), default=0)
+        word, strip = longest_word(p.cell.text), least_width(p.cell.text)
         for c in range(p.col, p.col + p.colspan):
             parts[c].append(max(1 if p.colspan > 1 else 0, display_width(p.cell.text) // p.colspan))
-            floor[c] = max(floor[c], word // p.colspan)
+            floor[c] = max(floor[c], word // p.colspan, strip // p.colspan)
     return [max(f, round(float(np.quantile([v for v in own if v > 1], 0.75))) if any(v > 1 for v in own) else 1) for own, f in zip(parts, floor)]
 
 
@@ -362,3 +386,25 @@ def headers_over_groups(grid: Grid, row: int = 0) -> list[tuple[int, int]]:
             end = q.col + q.colspan
         out.append((p.col, end - p.col))
     return out
+
+
+def row_shares(rows: int, heights: list[float]) -> list[int]:
+    """Rows of a cell shared among the pictures it holds by their heights, one at least; with fewer rows than pictures the last row takes what is left."""
+    if rows < len(heights):
+        return [1] * rows
+    total = sum(max(1.0, h) for h in heights)
+    ideal = [rows * max(1.0, h) / total for h in heights]
+    out = [max(1, int(x)) for x in ideal]
+    while sum(out) != rows:
+        step = 1 if sum(out) < rows else -1
+        able = [k for k in range(len(out)) if out[k] + step >= 1]
+        k = max(able, key=lambda k: step * (ideal[k] - out[k]))
+        out[k] += step
+    return out
+
+
+def natural_width_pt(grid: Grid, size_pt: float, pad: int = 2, margin_pt: float = 5.4) -> float:
+    """Width in points that a table's texts would take: columns by weight or longest word, half a font size for each, with margins."""
+    if not grid.cells:
+        return 0.0
+    return sum((w + pad) * max(1.0, size_pt * 0.5) + 2 * margin_pt for w in column_weights(grid))

@@ -47,7 +47,8 @@ class _OpenCell:
         self.blocks: list[tuple[str, object]] = []
 
     def end_paragraph(self) -> None:
-        text = "\n".join(" ".join(line.split()) for line in self.paragraphs[-1].split("\n")).strip()
+        raw = self.paragraphs[-1]
+        text = "\n".join(" ".join(line.split()) for line in raw.split("\n")).strip() if "\n" in raw else " ".join(raw.split())
         if text:
             self.blocks.append(("text", text))
         self.paragraphs.append("")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import blocks
+from leafmill.functions import geometry as G
 from leafmill.functions import text as X
 from leafmill.operators import layout, nested, recovery
 from leafmill.plans.general import _PAGES
@@ -102,12 +103,33 @@ def event_frames(spark, folder):
     return rows.select("event_id", "frame_no", "f.event", "f.data")
 
 
-_NAMES = "zone_styles caption_owners box_candidates boxes_taken turn_candidates pictures_lost page_rules scan_types diagram_lines block_texts list_texts outside_tables event_frames".split()
+def entry_sizes(spark, folder):
+    """Lines and font size of every entry by its box, and whether the box is a container of its text."""
+    e = _entries(spark, folder).where("x1 is not null")
+    wide = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[぀-ヿ㐀-䶿一-鿿가-힣豈-﫿]"))
+    lines = G.estimated_lines(F.trim("text"), F.col("x2") - F.col("x1"), F.col("zoom"), wide)
+    height = (F.col("y2") - F.col("y1")).cast("double")
+    rows = e.select(*layout.ENTRY, lines.alias("n_lines"), height.alias("h"), "zoom")
+    return rows.select(*layout.ENTRY, "n_lines", G.estimated_size(F.col("h"), F.col("n_lines"), F.col("zoom")).alias("size_pt"), G.is_container(F.col("h") / F.col("zoom"), F.col("n_lines"), F.lit(2.0)).alias("container"))
+
+
+def markdown_cells(spark, folder):
+    """Cells of the Markdown tables of documents."""
+    docs = table(spark, folder, "documents").where(F.col("text").rlike(r"(?m)^\|.*\|$"))
+    rows = docs.select("doc_id", F.posexplode(blocks.markdown_rows(F.col("text"))).alias("row_no", "cells"))
+    return rows.select("doc_id", "row_no", F.posexplode("cells").alias("col_no", "cell"))
+
+
+_NAMES = "entry_sizes markdown_cells zone_styles caption_owners box_candidates boxes_taken turn_candidates pictures_lost page_rules scan_types diagram_lines block_texts list_texts outside_tables event_frames".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _HINT = r"(?i)\b(yes|no|sim|não|sí|oui|non|ja|nein|да|нет|n/a)\b|是|否"
 _GAP = "greatest(b.y1 - a.y2, a.y1 - b.y2, 0)"
 SQL = {
+    "entry_sizes": f"""WITH {_E}, w AS (SELECT *, trim(text) AS t, length(trim(text)) + len(regexp_extract_all(coalesce(text, ''), '[぀-ヿ㐀-䶿一-鿿가-힣豈-﫿]')) AS n FROM e WHERE x1 IS NOT NULL),
+        l AS (SELECT *, CAST(CASE WHEN coalesce(t, '') = '' THEN 1 ELSE greatest(length(t) - length(replace(t, chr(10), '')) + 1, least(50, greatest(1, ceil(n * 7.0::DOUBLE * greatest(zoom, 1.0::DOUBLE) / greatest(CAST(x2 - x1 AS DOUBLE), 1.0::DOUBLE) - 0.25::DOUBLE)))) END AS INTEGER) AS n_lines FROM w),
+        z AS (SELECT *, CAST(y2 - y1 AS DOUBLE) / n_lines / zoom * 0.7::DOUBLE AS s FROM l)
+        SELECT doc_id, page_index, entry_idx, n_lines, CASE WHEN s BETWEEN 6 AND 96 THEN round_even(s, 1) ELSE 11.0::DOUBLE END AS size_pt, CAST(y2 - y1 AS DOUBLE) / zoom > n_lines * 2.0::DOUBLE * 7 AND y2 > y1 AS container FROM z""",
     "zone_styles": f"""WITH {_E}, s AS (SELECT * FROM e WHERE x1 IS NOT NULL AND category IS NOT NULL), z AS (SELECT doc_id, page_index, max(page_height_pt * zoom) AS h FROM s GROUP BY ALL),
         w AS (SELECT max(page_width_pt * zoom) AS w, doc_id, page_index FROM s GROUP BY ALL),
         o AS (SELECT s.doc_id, s.page_index, s.entry_idx AS span_idx, category, length(coalesce(text, '')) AS n, min(q.q) AS entry_idx FROM s JOIN z USING (doc_id, page_index) JOIN w USING (doc_id, page_index), (SELECT unnest([0, 1, 2, 3]) AS q) q

@@ -53,3 +53,19 @@ def test_boxes_turns_rules_and_readers(spark):
 
     assert sorted(tuple(r) for r in recovery.read_pages(pages, reader).collect()) == [(1, 0, "text", None), (1, 1, None, "bad page")]
     assert {r.scan_type for r in recovery.scan_types(e).collect()} == {"scanned"}
+
+
+def test_markdown_rows_and_emphasis(spark):
+    df = spark.createDataFrame([("| a | b |\n|---|---|\n| 1 | |\nplain\n| | |\nx | y",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(blocks.markdown_rows(F.col("t"))).collect()] == [[["a", "b"], ["1", ""], ["x", "y"]], [], None]
+    assert blocks.emphasised("<b>bold</b> x") == (True, False) and blocks.emphasised("<i>a</i> long text") == (False, False) and blocks.emphasised(None) == (False, False)
+
+
+def test_sizes(spark):
+    from leafmill.functions import geometry as G
+
+    df = spark.createDataFrame([("a" * 30, 70, 20.0, 1.0), ("a\nb\nc", 700, 30.0, 1.0), (None, 10, 500.0, 1.0), ("x", 0, 10.0, 1.0)], "t string, w int, h double, z double")
+    lines = G.estimated_lines(F.col("t"), F.col("w"), F.col("z"), F.lit(0))
+    assert [r[0] for r in df.select(lines).collect()] == [3, 3, 1, 7]
+    assert [r[0] for r in df.select(G.estimated_size(F.col("h"), F.lit(1), F.col("z"))).collect()] == [14.0, 21.0, 11.0, 7.0]
+    assert [tuple(r) for r in spark.range(1).select(*G.recentred(F.lit(10), F.lit(100), F.lit(40)), *G.recentred(F.lit(10), F.lit(30), F.lit(40))).collect()] == [(40, 40, 10, 30)]

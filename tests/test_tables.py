@@ -88,3 +88,9 @@ def test_frames(spark):
     chain = spark.createDataFrame([(1, "a", 0, 0, 5.0, 1.0, 3, False, None), (1, "b", 1, 0, 5.0, 1.0, 3, False, None), (1, "c", 2, 0, 5.0, 1.0, 4, False, None), (1, "d", 3, 0, 500.0, 1.0, 4, False, None), (1, "e", 4, 0, 5.0, 1.0, 4, True, None)],
                                   "doc_id long, table_id string, page_index int, entry_idx int, y1 double, zoom double, cols int, has_head boolean, header_y2 double")
     assert {r.table_id: r.chain_id for r in tables.chains(chain).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
+
+
+def test_widths_and_shares():
+    assert G.display_width("ab中") == 4 and G.longest_word("ab 中文cdef") == 4 and G.least_width("x" * 16) == 8 and G.least_width("x" * 400) == 22 and G.least_width("") == 0
+    assert G.row_shares(6, [10, 20, 30]) == [1, 2, 3] and G.row_shares(2, [1, 1, 1]) == [1, 1] and sum(G.row_shares(7, [100, 1, 1])) == 7
+    assert G.natural_width_pt(G.build([]), 10) == 0.0 and G.natural_width_pt(G.build(read_table(html([["abc", "d"]]))), 10) == pytest.approx(61.6)
