@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import language, lookalike, markup, ocr, packing, splitting, tokenizer
+from leafmill.operators import nested
 from leafmill.session import cut_lineage
 from leafmill.sources import table
 
@@ -48,6 +49,13 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     return markup.cleaned(docs, markup.fit_on(docs), ["doc_id"])
 
 
+def p3_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean text of every entry of every layout."""
+    docs = table(spark, folder, "documents")
+    entries = nested.flat_tables(nested.occurrences(docs))["entries"].where("text is not null")
+    return markup.cleaned(entries, markup.fit_on(docs), ["doc_id", "page_index", "entry_idx"])
+
+
 def _assigned(spark: SparkSession, folder: str) -> DataFrame:
     docs, jobs = table(spark, folder, "documents"), table(spark, folder, "translations")
     return language.assign(language.labelled_rows(docs, jobs), language.fit_on(docs))
@@ -73,6 +81,13 @@ def p5_texts(spark: SparkSession, folder: str) -> DataFrame:
     return ocr.texts(docs, ocr.learn(docs))
 
 
+def p5_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The repaired text of every document's page entries."""
+    docs, entries = table(spark, folder, "documents"), table(spark, folder, "page_entries")
+    rows = ocr.entry_texts(entries).join(docs.select("doc_id", "scan_type"), "doc_id", "left")
+    return ocr.texts(rows, ocr.learn(docs))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode(table(spark, folder, "documents"))
 
@@ -110,10 +125,12 @@ QUERIES = {
     "p2_texts": p2_texts,
     "p3_found": p3_found,
     "p3_clean": p3_clean,
+    "p3_entries": p3_entries,
     "p4_found": p4_found,
     "p4_languages": p4_languages,
     "p5_found": p5_found,
     "p5_texts": p5_texts,
+    "p5_entries": p5_entries,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p8_packs": p8_packs,
