@@ -35,11 +35,13 @@ SENTENCE_ENDS, CLAUSE_ENDS, CLOSERS = ".!?…。！？", ",;:，；：、", "\"'
 SCHEMA = "limit_id int, doc_id long, piece_no int, first_token int, last_token int, n_tokens int, text string"
 
 
-def _codes(signs: str) -> np.ndarray:
-    return np.array([ord(c) for c in signs], np.uint32)
-
-
-_ENDS, _CLAUSES, _CLOSERS = _codes(SENTENCE_ENDS), _codes(CLAUSE_ENDS), _codes(CLOSERS)
+# What a character is, a bit each: for every code point one byte.
+END, CLAUSE_END, CLOSER, SPACE, HAN, WIDE = 1, 2, 4, 8, 16, 32
+_IS = np.zeros(0x110000, np.uint8)
+for _bit, _signs in ((END, SENTENCE_ENDS), (CLAUSE_END, CLAUSE_ENDS), (CLOSER, CLOSERS), (SPACE, " \t\n\x0b\x0c\r\xa0\u3000")):
+    _IS[[ord(c) for c in _signs]] |= _bit
+_IS[0x3400:0xA000] |= HAN
+_IS[0x3000:] |= WIDE
 
 
 def strengths(text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,14 +56,13 @@ def strengths(text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     c = np.maximum(char, 1)
     before, after = points[c - 1], points[np.minimum(c, len(points) - 1)]
     second = points[np.maximum(c - 2, 0)]
-    space_before, space_after = _space(before), _space(after)
-    han = lambda p: (p >= 0x3400) & (p <= 0x9FFF)
-    word = space_after | space_before | han(before) | han(after)
-    said = np.where(np.isin(before, _CLOSERS) | space_before, second, before)
+    kind_before, kind_after, kind_second = _IS[before], _IS[after], _IS[second]
+    word = ((kind_before | kind_after) & (SPACE | HAN)) > 0
+    said = np.where(kind_before & (CLOSER | SPACE), kind_second, kind_before)
     strength = np.full(len(starts), CHARACTER, np.int8)
     strength[word] = WORD
-    strength[(np.isin(said, _CLAUSES)) & word] = CLAUSE
-    strength[(np.isin(said, _ENDS)) & (space_after | space_before | (said > 0x2FFF))] = SENTENCE
+    strength[((said & CLAUSE_END) > 0) & word] = CLAUSE
+    strength[((said & END) > 0) & (((kind_before | kind_after) & SPACE | said & WIDE) > 0)] = SENTENCE
     line = (before == 10) & (after != 10)
     strength[line] = LINE
     strength[line & (second == 10)] = PARAGRAPH
@@ -72,10 +73,6 @@ def strengths(text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return strength, char
 
 
-def _space(points: np.ndarray) -> np.ndarray:
-    return (points == 32) | ((points >= 9) & (points <= 13)) | (points == 0xA0) | (points == 0x3000)
-
-
 def cuts(strength: np.ndarray, limit: int, overlap: int) -> list[int]:
     """Where pieces begin: 0 and the cuts, rising."""
     total, most = len(strength), limit - overlap
@@ -102,10 +99,9 @@ def cuts(strength: np.ndarray, limit: int, overlap: int) -> list[int]:
     return sorted(out)
 
 
-def pieces(enc: Encoder, text: str, ids: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
-    """(first token, token after the last, number of tokens, text) of each piece, overlap included."""
-    ends = np.cumsum(enc.token_lengths(ids))
-    strength, char = strengths(text, ends)
+def pieces(enc: Encoder, text: str, ids: np.ndarray, limit: int, overlap: int, places: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, str]]:
+    """(first token, token after the last, number of tokens, text) of each piece, overlap included; ``places`` are the text's ``strengths``, if they are known."""
+    strength, char = places or strengths(text, np.cumsum(enc.token_lengths(ids)))
     begins = cuts(strength, limit, overlap)
     out = []
     for k, a in enumerate(begins):
@@ -147,11 +143,12 @@ def split(documents: DataFrame, limits: DataFrame, path: str | None = None, patt
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 ids = np.frombuffer(enc.encode(text), np.int32)
-                for limit_id, limit, overlap in table:
-                    if len(ids) > limit:
-                        for k, (a, b, n, piece) in enumerate(pieces(enc, text, ids, limit, overlap)):
-                            rows.append((limit_id, doc_id, k + 1, a, b - 1, n, piece))
-                            volume += len(piece)
+                above = [row for row in table if len(ids) > row[1]]
+                places = strengths(text, np.cumsum(enc.token_lengths(ids))) if above else None
+                for limit_id, limit, overlap in above:
+                    for k, (a, b, n, piece) in enumerate(pieces(enc, text, ids, limit, overlap, places)):
+                        rows.append((limit_id, doc_id, k + 1, a, b - 1, n, piece))
+                        volume += len(piece)
                 if volume > 4_000_000:
                     yield _batch(rows)
                     rows, volume = [], 0
