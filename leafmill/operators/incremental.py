@@ -123,9 +123,10 @@ def replay(feed: DataFrame, runs: DataFrame) -> DataFrame:
     of the candidates of earlier runs, so a pair belongs to the earliest run
     that reads it.
     """
-    read = candidates(changes(feed), reread_spans(feed, runs))
-    owner = read.groupBy(*LEDGER).agg(F.min(F.struct("ordinal", "run_id")).alias("run"))
-    return owner.select(F.col("run.run_id").alias("run_id"), *KEY).distinct()
+    spans = reread_spans(feed, runs)
+    read = candidates(changes(feed), spans)
+    owner = read.groupBy(*LEDGER).agg(F.min("ordinal").alias("ordinal")).select("ordinal", *KEY).distinct()
+    return owner.join(F.broadcast(spans.select("ordinal", "run_id")), "ordinal").select("run_id", *KEY)
 
 
 def next_batch(feed: DataFrame, runs: DataFrame, ledger: DataFrame, run_id: int) -> DataFrame:
