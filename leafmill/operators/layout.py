@@ -26,7 +26,8 @@ def entries(page_entries: DataFrame) -> DataFrame:
     """Entries with corners turned right, the category in one spelling, repeated rows once, and the page's defaults filled in."""
     x1, y1, x2, y2 = G.corners(F.col("bbox"))
     names = F.array_join(F.transform(F.split(F.trim("category"), "[-_ ]+"), lambda w: F.initcap(w)), "-")
-    return page_entries.dropDuplicates(ENTRY).select(
+    # By page at once: what follows groups, orders and joins within pages, and finds the rows in place.
+    return page_entries.repartition(*PAGE).dropDuplicates(ENTRY).select(
         *ENTRY, F.nullif(names, F.lit("")).alias("category"), "text", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"),
         G.quarter_turn(F.col("rotation")).alias("rotation"), "source",
         F.coalesce(F.nullif("page_width_pt", F.lit(0.0)), F.lit(595.0)).alias("page_width_pt"),
