@@ -233,8 +233,15 @@ class Model:
         self.words, self.furniture, self.vectors = state
         self.__post_init__()
 
+    def count(self, word: str) -> int:
+        return max(self.words.get(word, 0), self.words.get(word.lower(), 0))
+
     def known(self, word: str) -> bool:
-        return self.words.get(word, 0) >= KNOWN or self.words.get(word.lower(), 0) >= KNOWN
+        return self.count(word) >= KNOWN
+
+    def stands_alone(self, part: str, whole: str) -> bool:
+        """True if ``part`` is a word beside ``whole``: known, and not so much rarer as the fragments of ``whole`` are at any size of the corpus."""
+        return self.known(part) and self.count(part) * RATIO > self.count(whole)
 
     def correction(self, word: str, around: list[str]) -> str | None:
         """The frequent neighbour of a rare word, or None: the one that fits best among those with a plausible way of misreading."""
@@ -464,7 +471,7 @@ def _broken(i: int, j: int, lines: list[str], noise: list[set[str]], goes_on: di
             return
         if right[0].isupper() and not left.isupper():
             return
-        parts = model.known(left) + model.known(right)
+        parts = model.stands_alone(left, joined) + model.stands_alone(right, joined)
         if model.known(joined) and parts < 2:
             pass
         elif parts == 0 and left.isalpha() and right.isalpha() and not model.correction(right, []) and not model.correction(left, []) and (model.correction(joined, []) or left[0].isupper()):

@@ -85,3 +85,11 @@ def test_entries_as_a_page(spark):
     rows = [(1, 0, 0, "a"), (1, 0, 0, "a"), (1, 0, 2, "b"), (1, 1, 0, "c"), (1, 0, 3, None), (2, 0, 0, None)]
     df = spark.createDataFrame(rows, "doc_id long, page_index int, entry_idx int, text string")
     assert [tuple(r) for r in O.entry_texts(df).collect()] == [(1, "a\n\nb\n\fc")]
+
+
+@pytest.mark.parametrize("times", [1, 10, 1000])
+def test_breaks_without_a_sign_are_the_same_at_every_size(times):
+    counts = {"inspection": 400, "inspec": 1, "tion": 2, "overall": 30, "over": 900, "all": 900, "the": 900}
+    model = O.Model({w: n * times for w, n in counts.items() if n * times >= O.KNOWN}, frozenset(), {})
+    text = "the inspec\ntion of the over\nall the"
+    assert [sorted(n) for n in O.read(text, model).noise] == [["hyphen"], [], []]
