@@ -76,10 +76,15 @@ def unit_chunks(spark, folder):
 
 
 def entries_translated(spark, folder):
-    """Every entry translated by a model that writes upper case."""
+    """Entries translated by a model that writes upper case, but for those with a sign whose upper case SQL writes differently; ``entries_translated_all`` has them all."""
     return translate.translated(_entries(spark, folder).where("text is null or not text rlike '[ßŉǰΐΰևẖẗẘẙẚﬀ-ﬄ]'"))
 
 
+def entries_translated_all(spark, folder):
+    """Every entry translated by a model that writes upper case."""
+    return translate.translated(_entries(spark, folder))
+
+
 def _half_done(texts):
     return [t if len(t) > 40 else "done" for t in texts]
 
@@ -109,7 +114,7 @@ def pages_resumed(spark, folder):
 
 
 _NAMES = """entry_scripts entry_masks entry_signatures entry_xml document_dollars artifact_names download_headers repeated_tails formula_texts translation_units unit_chunks entries_translated
-residual_units unit_outcomes pages_resumed""".split()
+entries_translated_all residual_units unit_outcomes pages_resumed""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _E = r"""e AS (SELECT DISTINCT ON (doc_id, page_index, entry_idx) doc_id, page_index, entry_idx, category, text FROM page_entries)"""

@@ -81,3 +81,13 @@ def test_resume(spark):
     saved = new.withColumn("text", F.concat(F.lit("old"), "text"))
     checkpoints = spark.createDataFrame([(1, 2, 3, 3), (2, 2, 4, 3), (3, 0, 3, 3)], "doc_id long, pages_done int, page_count int, now_pages int")
     assert sorted((r.doc_id, r.page_index) for r in translate.resumed(saved, new, checkpoints).where("was_saved").collect()) == [(1, 0), (1, 1)]
+
+
+def test_every_entry_is_translated(spark, folder, tmp_path):
+    from leafmill.plans import text as plans
+
+    texts = spark.createDataFrame(enumerate(["Straße ﬁn", "<td>Maß</td>", "plain", "", None]), "entry_idx int, text string")
+    one_entry = spark.read.parquet(f"{folder}/page_entries.parquet").limit(1).drop("entry_idx", "text").withColumn("category", F.lit("Text"))
+    one_entry.crossJoin(texts).write.parquet(f"{tmp_path}/page_entries.parquet")
+    got = {r.entry_idx: r.text for r in plans.QUERIES["entries_translated_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: "STRASSE FIN", 1: "<td>MASS</td>", 2: "PLAIN"}
