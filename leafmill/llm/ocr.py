@@ -11,8 +11,10 @@ neighbour that fits the words around best is its correction. Lines that are
 furniture are named, words broken at line ends are joined by the counts, and
 what remains flows into paragraphs.
 
-The model is bounded: ``VOCABULARY`` words, ``TEMPLATES`` templates, a vector
-for each word that comes often enough. Counts cover all rows.
+What is sent to all tasks is bounded: ``VOCABULARY`` words, ``TEMPLATES``
+templates, a vector for each word that comes often enough. Where a corpus has
+more words or templates, the rest stays a table, and each text gets what it
+needs of it by a join. Counts cover all rows.
 
 Defined results: null, empty and blank texts have no lines of noise and stay
 as they are; lines are split at newline only, so a form feed belongs to its
@@ -26,7 +28,7 @@ import dataclasses
 import functools
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import ChainMap, Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -215,24 +217,43 @@ class Model:
     words: dict[str, int]
     furniture: frozenset[str]
     vectors: dict[str, np.ndarray]
+    #: What the three above leave out: kind (word, line or skeleton), key, word, docs. Tasks have True in its place.
+    rest: DataFrame | bool | None = None
 
     def __post_init__(self) -> None:
         # Words too frequent to be a misreading of any other; templates without a number.
-        most = max(self.words.values(), default=0)
-        self.common = frozenset(w for w, n in self.words.items() if n * RATIO > most)
-        self.unnumbered = any("#" not in t for t in self.furniture)
+        self.most = max(self.words.values(), default=1 << 62)
+        self.common = frozenset(w for w, n in self.words.items() if n * RATIO > self.most)
+        self.unnumbered = self.rest is not None or any("#" not in t for t in self.furniture)
+        self.least = min(self.words.values(), default=1 << 62)  # words of the rest are rarer
         self.by_skeleton: dict[str, list[str]] = defaultdict(list)
         for w, n in self.words.items():
             if n >= OFTEN and len(w) >= 3 and w.isalpha():
                 self.by_skeleton[skeleton(w)].append(w)
 
     def __getstate__(self) -> tuple:
-        return self.words, self.furniture, self.vectors
+        return self.words, self.furniture, self.vectors, None if self.rest is None else True
 
     def __setstate__(self, state: tuple) -> None:
-        self.words, self.furniture, self.vectors = state
+        self.words, self.furniture, self.vectors, self.rest = state
         self.__post_init__()
 
+    def with_more(self, rows: list[dict]) -> Model:
+        """This model and rows of the rest."""
+        if not rows:
+            return self
+        own = object.__new__(Model)
+        own.__dict__ |= self.__dict__
+        own.words = ChainMap({r["word"]: r["docs"] for r in rows if r["kind"] != "line"}, self.words)
+        own.common = self.common | {w for w, n in own.words.maps[0].items() if n * RATIO > self.most}
+        own.furniture = self.furniture | {r["key"] for r in rows if r["kind"] == "line"}
+        alike: dict[str, set[str]] = defaultdict(set)
+        for r in rows:
+            if r["kind"] == "skeleton":
+                alike[r["key"]].add(r["word"])
+        own.by_skeleton = ChainMap({k: self.by_skeleton.get(k, []) + sorted(ws) for k, ws in alike.items()}, self.by_skeleton)
+        return own
+
     def count(self, word: str) -> int:
         return max(self.words.get(word, 0), self.words.get(word.lower(), 0))
 
@@ -259,7 +280,7 @@ class Model:
             if word.isalpha() and fit < -0.35:
                 continue
             s = fit - 0.5 * cost + 0.02 * np.log(self.words[u])
-            if s > score:
+            if s > score or s == score and u < best:
                 best, score = u, s
         return best
 
@@ -350,12 +371,79 @@ def learn(documents: DataFrame) -> Model:
         | ((F.col("kind") == "line") & (F.col("docs") >= TEMPLATE_DOCS) & (F.col("borders") >= AT_BORDER * F.col("lines")) & (F.col("repeats") >= REPEATED * F.col("docs")))
     )
     counts = cut_lineage(counts)  # read twice: for the thresholds and for the rows above them
-    top = _most_frequent(counts.where("kind = 'word'"), VOCABULARY) + _most_frequent(counts.where("kind = 'line'"), TEMPLATES)
-    words = {r.key: r.docs for r in top if r.kind == "word"}
-    lines = frozenset(r.key for r in top if r.kind == "line")
+    top = {kind: _most_frequent(counts.where(F.col("kind") == kind), most) for kind, most in (("word", VOCABULARY), ("line", TEMPLATES))}
+    words = {r.key: r.docs for r in top["word"]}
+    lines = frozenset(r.key for r in top["line"])
+    left = functools.reduce(lambda a, b: a | b, ((F.col("kind") == kind) & (F.col("docs") < min((r.docs for r in rows), default=1 << 62)) for kind, rows in top.items()))
+    rest = counts.where(left).select("kind", "key", "docs")
     total = sum(words.values())
     partitions = max(1, min(64, spark.sparkContext.defaultParallelism))
-    return Model(words, lines, skip_grams(documents, max(5, total // 200_000), partitions))
+    return Model(words, lines, skip_grams(documents, max(5, total // 200_000), partitions), None if rest.isEmpty() else by_key(rest))
+
+
+def by_key(counts: DataFrame) -> DataFrame:
+    """kind, key, word, docs of ``counts(kind, key, docs)``: words once by themselves and, if they may be corrections, once by their skeleton."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for kind, key, docs in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.append((kind, key, key, docs))
+                if kind == "word" and docs >= OFTEN and len(key) >= 3 and key.isalpha():
+                    rows.append(("skeleton", skeleton(key), key, docs))
+            if rows:
+                yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["kind", "key", "word", "docs"])
+
+    return counts.mapInArrow(run, MORE)
+
+
+MORE = "kind string, key string, word string, docs long"
+
+
+def lines_lacking(text: str, model: Model) -> set[tuple[str, str]]:
+    """Templates that reading a text asks for and ``model`` doesn't have."""
+    keys: set[str] = set()
+    for line in lines_of(text):
+        if line.strip() and _may_be_header(line):
+            t = template(line)[0]
+            keys |= {t, t.removesuffix("#").rstrip(), t.removesuffix("#").rstrip(" |–-")}
+    return {("line", k) for k in keys - model.furniture}
+
+
+def words_lacking(text: str, model: Model) -> set[tuple[str, str]]:
+    """Words and skeletons that reading a text asks for and ``model``, which has its templates, doesn't have."""
+    lines = lines_of(text)
+    noise: list[set[str]] = [set() for _ in lines]
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    _numbers(lines, full, noise, _headers(lines, full, noise, model))
+    body = [i for i in full if not noise[i]]
+    words = {w for i in body for w in _TOKEN.findall(lines[i]) if not w.isdigit()}
+    for i, j in zip(body, body[1:]):
+        if h := _halves(lines[i], lines[j]):
+            words |= {h[1], h[2], h[1] + h[2]}
+    keys = {("word", k) for w in words for k in (w, w.lower()) if k not in model.words}
+    return keys | {("skeleton", skeleton(w)) for w in words if len(w) >= 3 and RATIO * max(1, model.words.get(w, 0)) < model.least}
+
+
+def looked_up(rows: DataFrame, model: Model, shared) -> DataFrame:
+    """``rows(text, scan_type)`` with ``more``: what each text needs of the model's rest, by joins on the key; templates first, as they say which lines are read."""
+    kind = f"array<struct<{MORE.replace(' ', ':').replace(',:', ',')}>>"
+    rows = rows.withColumns({"h": F.xxhash64("text"), "more": F.array().cast(kind)})
+    for lacking in (lines_lacking, words_lacking):
+
+        def run(batches: Iterator[pa.RecordBatch], lacking=lacking) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for h, text, label, more in zip(*(c.to_pylist() for c in batch.columns)):
+                    if text and is_page(text, label):
+                        out += [(h, *k) for k in lacking(text, shared.value.with_more(more))]
+                if out:
+                    yield pa.record_batch([pa.array(c) for c in zip(*out)], names=["h", "kind", "key"])
+
+        wanted = rows.select("h", "text", "scan_type", "more").mapInArrow(run, "h long, kind string, key string").distinct()
+        new = wanted.join(model.rest, ["kind", "key"]).groupBy("h").agg(F.collect_list(F.struct("kind", "key", "word", "docs")).cast(kind).alias("new"))
+        rows = rows.join(new, "h", "left").withColumn("more", F.concat("more", F.coalesce("new", F.array().cast(kind)))).drop("new")
+    return rows.drop("h")
 
 
 # ---- reading a text
@@ -387,6 +475,10 @@ def read(text: str, model: Model) -> Reading:
     return Reading(noise, fixed, goes_on)
 
 
+def _may_be_header(line: str) -> bool:
+    return len(line) <= 110 and len(line.strip()) <= 80 and not _CLOSED.search(line) and page_number(line) is None
+
+
 def _headers(lines: list[str], full: list[int], noise: list[set[str]], model: Model) -> bool:
     found = False
     own: dict[str, list[bool]] = defaultdict(list)
@@ -394,7 +486,7 @@ def _headers(lines: list[str], full: list[int], noise: list[set[str]], model: Mo
     for k, i in enumerate(full):
         if not model.unnumbered and not _DIGIT.search(lines[i]):
             continue
-        if len(lines[i]) <= 110 and len(lines[i].strip()) <= 80 and not _CLOSED.search(lines[i]) and page_number(lines[i]) is None:
+        if _may_be_header(lines[i]):
             t, numbered = template(lines[i])
             short.append((k, i, t, numbered))
             if "#" in t and t.strip("#. /-[]"):
@@ -433,21 +525,26 @@ def _numbers(lines: list[str], full: list[int], noise: list[set[str]], headed: b
                 noise[i].add("page_number")
 
 
+def _halves(line: str, following: str) -> tuple[str, str, str] | None:
+    """The sign at a line's end, what stands before it, what the following line begins with."""
+    a, b = line.rstrip(), following.lstrip()
+    if not a or not b:
+        return None
+    sign = a[-1] if a[-1] in HYPHEN_SIGNS else ""
+    left, right = re.search(r"(?:[^\W_㐀-鿿]|@)+$", a[:-1] if sign else a), _TOKEN.match(b)
+    return (sign, left.group(), right.group()) if left and right else None
+
+
 def _broken(i: int, j: int, lines: list[str], noise: list[set[str]], goes_on: dict, model: Model) -> None:
     between = [k for k in range(i + 1, j)]
     furniture_between = any(noise[k] for k in between)
     if any(not lines[k].strip() for k in between) and not furniture_between:
         return
     raw = lines[i]
-    a, b = raw.rstrip(), lines[j].lstrip()
-    if not a or not b:
-        return
-    sign = a[-1] if a[-1] in HYPHEN_SIGNS else ""
-    stem = a[:-1] if sign else a
-    left, right = re.search(r"(?:[^\W_㐀-鿿]|@)+$", stem), _TOKEN.match(b)
-    if not left or not right:
+    a = raw.rstrip()
+    if not (halves := _halves(raw, lines[j])):
         return
-    left, right = left.group(), right.group()
+    sign, left, right = halves
     if not left[-1].isalpha() and left[-1] != "@" and not (left[-1].isdigit() and any(c.isalpha() for c in left[:-1]) and left[0].islower()):
         return
     if not (right[0].isalpha() or right[0] == "@"):
@@ -574,10 +671,10 @@ def found(documents: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for batch in batches:
             ids, numbers, kinds = [], [], []
-            for doc_id, text, label in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, label, *more in zip(*(c.to_pylist() for c in batch.columns)):
                 if not is_page(text, label):
                     continue
-                for k, noise in enumerate(read(text, m).noise):
+                for k, noise in enumerate(read(text, m.with_more(*more) if more else m).noise):
                     for kind in sorted(noise):
                         ids.append(doc_id)
                         numbers.append(k + 1)
@@ -587,6 +684,8 @@ def found(documents: DataFrame, model: Model) -> DataFrame:
 
     slim = documents.withColumn("text", F.col("text").cast("string"))
     rows = scanned(slim).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "scan_type")
+    if model.rest is not None:
+        rows = looked_up(rows, model, shared)
     return rows.mapInArrow(run, "doc_id long, line_no int, noise string")
 
 
@@ -602,10 +701,12 @@ def texts(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            new = [t if not t or not is_page(t, label) else repaired(t, m) for t, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            new = [t if not t or not is_page(t, label) else repaired(t, m.with_more(*more) if more else m) for t, label, *more in zip(*(c.to_pylist() for c in batch.columns[1:]))]
             yield pa.record_batch([batch.column(0), pa.array(new, pa.string())], names=["doc_id", "text"])
 
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "scan_type")
+    if model.rest is not None:
+        slim = looked_up(slim, model, shared)
     return slim.mapInArrow(run, "doc_id long, text string")
 
 

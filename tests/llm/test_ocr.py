@@ -93,3 +93,18 @@ def test_breaks_without_a_sign_are_the_same_at_every_size(times):
     model = O.Model({w: n * times for w, n in counts.items() if n * times >= O.KNOWN}, frozenset(), {})
     text = "the inspec\ntion of the over\nall the"
     assert [sorted(n) for n in O.read(text, model).noise] == [["hyphen"], [], []]
+
+
+def test_what_the_bounds_leave_out_is_looked_up(spark, monkeypatch):
+    rows = [(k, PAGE.replace("v1sible", "v1sible" if k < 3 else "visible"), None) for k in range(30)] + [(40 + k, "we see the visible words inspection whenever of a text", "native") for k in range(60)]
+    df = spark.createDataFrame([*rows, (100, None, None)], "doc_id long, text string, scan_type string")
+    monkeypatch.setattr(O, "skip_grams", lambda *_: {})
+    whole = O.learn(df)
+    monkeypatch.setattr(O, "VOCABULARY", 3)
+    monkeypatch.setattr(O, "TEMPLATES", 0)
+    part = O.learn(df)
+    assert whole.rest is None and len(part.words) <= 3 and not part.furniture
+    want = sorted(O.found(df, whole).collect())
+    assert {r.noise for r in want} == {"header", "hyphen", "misread", "page_number"}
+    assert sorted(O.found(df, part).collect()) == want
+    assert sorted(O.texts(df, part).collect()) == sorted(O.texts(df, whole).collect())
