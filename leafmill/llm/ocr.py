@@ -44,6 +44,8 @@ KNOWN, RATIO, OFTEN = 3, 20, 12
 #: A furniture template: documents it comes in, share of its lines at page borders, share of its documents that repeat it.
 TEMPLATE_DOCS, AT_BORDER, REPEATED = 3, 0.6, 0.25
 VECTOR, WINDOW = 16, 3
+#: A word of the scanned texts has a vector from this count, at every size of the corpus.
+SEEN = 5
 AT_ONCE = 256
 
 # What a glyph or pair of glyphs is misread as.
@@ -376,9 +378,8 @@ def learn(documents: DataFrame) -> Model:
     lines = frozenset(r.key for r in top["line"])
     left = functools.reduce(lambda a, b: a | b, ((F.col("kind") == kind) & (F.col("docs") < min((r.docs for r in rows), default=1 << 62)) for kind, rows in top.items()))
     rest = counts.where(left).select("kind", "key", "docs")
-    total = sum(words.values())
     partitions = max(1, min(64, spark.sparkContext.defaultParallelism))
-    return Model(words, lines, skip_grams(documents, max(5, total // 200_000), partitions), None if rest.isEmpty() else by_key(rest))
+    return Model(words, lines, skip_grams(documents, SEEN, partitions), None if rest.isEmpty() else by_key(rest))
 
 
 def by_key(counts: DataFrame) -> DataFrame:

@@ -108,3 +108,12 @@ def test_what_the_bounds_leave_out_is_looked_up(spark, monkeypatch):
     assert {r.noise for r in want} == {"header", "hyphen", "misread", "page_number"}
     assert sorted(O.found(df, part).collect()) == want
     assert sorted(O.texts(df, part).collect()) == sorted(O.texts(df, whole).collect())
+
+
+def test_vectors_need_the_same_count_at_every_size(spark, monkeypatch):
+    least = []
+    monkeypatch.setattr(O, "skip_grams", lambda documents, n, partitions: least.append(n) or {})
+    line = "the words of a line " * 1000
+    for times in (1, 600):
+        O.learn(spark.range(times).selectExpr("id AS doc_id", f"'{line}' AS text", "'native' AS scan_type"))
+    assert least[0] == least[1] <= O.OFTEN
