@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 #: The window is this share of the capacity; sizes of most volume tried between two others; sizes tried to fill a rest.
 WINDOW, FILLERS, EACH = 0.002, 3, 2
 SLOTS = 512
+LIMITS = 1000
 
 
 def nnls(columns: list[dict[int, int]], wanted: dict[int, float], weight: dict[int, float], rounds: int = 60) -> list[float]:
@@ -132,14 +133,22 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return runs
 
 
+def all_limits(limits: DataFrame, most: int = LIMITS) -> list:
+    """Every row of a table of limits; a table of more than ``most`` is refused."""
+    rows = limits.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} limits")
+    return rows
+
+
 def pack(items: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
     """limit_id, container, ``keys``, piece, n_tokens of ``items(*keys, n_tokens)`` for every row of ``limits(limit_id, max_tokens)``.
 
     ``piece`` is 0 for a whole item; the pieces of a divided one count from 1.
-    The limits are read on the driver; there are a handful of them.
+    The limits are read on the driver; there are a handful of them, and more than ``LIMITS`` are refused.
     """
     spark = items.sparkSession
-    capacities = [(int(r.limit_id), int(r.max_tokens)) for r in limits.select("limit_id", "max_tokens").limit(1000).collect() if r.max_tokens and r.max_tokens > 0]
+    capacities = [(int(r.limit_id), int(r.max_tokens)) for r in all_limits(limits.select("limit_id", "max_tokens")) if r.max_tokens and r.max_tokens > 0]
     if not capacities:
         return spark.createDataFrame([], items.select(F.lit(0).alias("limit_id"), F.lit(0).cast("long").alias("container"), *keys, F.lit(0).alias("piece"), F.lit(0).alias("n_tokens")).schema)
     each_limit = F.explode(F.array(*(F.struct(F.lit(i).cast("int").alias("limit_id"), F.lit(c).cast("int").alias("capacity")) for i, c in capacities))).alias("limit")

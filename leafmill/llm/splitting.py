@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.packing import all_limits
 from leafmill.llm.tokenizer import Encoder, encoder, split_pattern, vocabulary_path
 
 #: The middle part of a range in which a cut is looked for.
@@ -131,7 +132,7 @@ def _with_overlap(enc: Encoder, text: str, strength: np.ndarray, char: np.ndarra
 def split(documents: DataFrame, limits: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Pieces of every ``documents(doc_id, text)`` above a limit of ``limits(limit_id, max_tokens, overlap_tokens)``; one narrow pass for all limits."""
     path, pattern = path or vocabulary_path(), pattern or split_pattern()
-    table = [(int(r.limit_id), int(r.max_tokens), int(r.overlap_tokens or 0)) for r in limits.limit(1000).collect() if r.max_tokens]
+    table = [(int(r.limit_id), int(r.max_tokens), int(r.overlap_tokens or 0)) for r in all_limits(limits) if r.max_tokens]
     if any(limit <= overlap for _, limit, overlap in table):
         raise ValueError("a limit must be larger than its overlap")
 

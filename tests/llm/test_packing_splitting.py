@@ -102,3 +102,12 @@ def test_split_frames(spark):
     assert splitting.split(docs.where("false"), limits).count() == 0
     with pytest.raises(ValueError):
         splitting.split(docs, spark.createDataFrame([(1, 8, 8)], "limit_id int, max_tokens int, overlap_tokens int"))
+
+
+def test_a_longer_table_of_limits_is_refused(spark):
+    limits = spark.range(packing.LIMITS + 1).selectExpr("id AS limit_id", "10 AS max_tokens", "0 AS overlap_tokens")
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 5)], "doc_id long, n_tokens int"), limits, ["doc_id"])
+    with pytest.raises(ValueError):
+        splitting.split(spark.createDataFrame([(1, "a")], "doc_id long, text string"), limits)
+    assert len(packing.all_limits(limits.where("limit_id > 0"))) == packing.LIMITS
