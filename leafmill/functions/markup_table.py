@@ -73,7 +73,7 @@ class _Reader:
 
     def __init__(self) -> None:
         self.open: list[dict] = []
-        self.first: list[Row] | None = None
+        self.rows: list[Row] = []
 
     def read(self, text: str) -> None:
         for m in _TOKEN.finditer(text):
@@ -82,8 +82,6 @@ class _Reader:
                     self.end(m[2].lower())
                 else:
                     self.start(m[2].lower(), m[3])
-                if self.first is not None and not self.open:
-                    return
             elif self.open and not m[0].startswith("<!--"):
                 self.text(html.unescape(m[0]) if "&" in m[0] else m[0])
 
@@ -107,19 +105,18 @@ class _Reader:
     def _close_table(self) -> None:
         self._close_row()
         rows = self.open.pop()["rows"]
-        if self.open:
-            if (outer := self._cell()) is not None and rows and len(self.open) < DEEPEST:
+        if (outer := self._cell()) is not None:
+            if rows and len(self.open) < DEEPEST:
                 outer.end_paragraph()
                 outer.blocks.append(("table", rows))
-        elif self.first is None:
-            self.first = rows
+        elif all(t["cell"] is None for t in self.open):
+            self.rows += rows
 
     def start(self, tag: str, attrs: str) -> None:
         if tag == "table":
-            if self.first is None:
-                if self.open and self._cell() is None:
-                    self._close_row()
-                self.open.append({"rows": [], "row": [], "heads": [], "cell": None, "head": False})
+            if self.open and self._cell() is None:
+                self._close_row()
+            self.open.append({"rows": [], "row": [], "heads": [], "cell": None, "head": False})
             return
         if not self.open:
             return
@@ -165,7 +162,7 @@ class _Reader:
 
 
 def read_table(text: str | None) -> list[Row]:
-    """The rows of the first table in a text; none if there is no table."""
+    """The rows of all top-level tables in a text, in order; none if there is no table."""
     if not text or "<table" not in text.lower():
         return []
     reader = _Reader()
@@ -173,7 +170,7 @@ def read_table(text: str | None) -> list[Row]:
     while reader.open:
         reader._close_table()
     rows: list[Row] = []
-    for row in reader.first or []:
+    for row in reader.rows:
         if not rows or row[0] != rows[-1][0]:
             rows.append(row)
     return rows[:MOST_ROWS]

@@ -94,3 +94,9 @@ def test_widths_and_shares():
     assert G.display_width("ab中") == 4 and G.longest_word("ab 中文cdef") == 4 and G.least_width("x" * 16) == 8 and G.least_width("x" * 400) == 22 and G.least_width("") == 0
     assert G.row_shares(6, [10, 20, 30]) == [1, 2, 3] and G.row_shares(2, [1, 1, 1]) == [1, 1] and sum(G.row_shares(7, [100, 1, 1])) == 7
     assert G.natural_width_pt(G.build([]), 10) == 0.0 and G.natural_width_pt(G.build(read_table(html([["abc", "d"]]))), 10) == pytest.approx(61.6)
+
+
+def test_rows_of_all_tables_of_a_text():
+    text = html([["a", "b"], ["c", "d"]]) + "<p>between</p>" + html([["c", "d"], ["e", "f"]]) + "<table><tr><td>cut off"
+    assert [[c.text for c in cells] for cells, _ in read_table(text)] == [["a", "b"], ["c", "d"], ["e", "f"], ["cut off"]]
+    assert len(read_table(html([[k] for k in range(150)]) + html([[k] for k in range(150)]))) == 200
