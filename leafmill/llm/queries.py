@@ -71,8 +71,7 @@ def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return ocr.found(docs, ocr.learn(docs))
+    return ocr.found(None, ocr.learn(table(spark, folder, "documents")))
 
 
 def p5_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,7 +84,7 @@ def p5_entries(spark: SparkSession, folder: str) -> DataFrame:
     """The repaired text of every document's page entries."""
     docs, entries = table(spark, folder, "documents"), table(spark, folder, "page_entries")
     rows = ocr.entry_texts(entries).join(docs.select("doc_id", "scan_type"), "doc_id", "left")
-    return ocr.texts(rows, ocr.learn(docs))
+    return ocr.texts(rows, ocr.learn(docs.select("text", "scan_type").unionByName(rows.select("text", "scan_type"))))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -98,22 +98,63 @@ def test_breaks_without_a_sign_are_the_same_at_every_size(times):
 def test_what_the_bounds_leave_out_is_looked_up(spark, monkeypatch):
     rows = [(k, PAGE.replace("v1sible", "v1sible" if k < 3 else "visible"), None) for k in range(30)] + [(40 + k, "we see the visible words inspection whenever of a text", "native") for k in range(60)]
     df = spark.createDataFrame([*rows, (100, None, None)], "doc_id long, text string, scan_type string")
-    monkeypatch.setattr(O, "skip_grams", lambda *_: {})
     whole = O.learn(df)
     monkeypatch.setattr(O, "VOCABULARY", 3)
     monkeypatch.setattr(O, "TEMPLATES", 0)
     part = O.learn(df)
-    assert whole.rest is None and len(part.words) <= 3 and not part.furniture
+    assert whole.rest is None and len(part.words) <= 3 and not part.furniture and len(part.vectors) < len(whole.vectors)
     want = sorted(O.found(df, whole).collect())
     assert {r.noise for r in want} == {"header", "hyphen", "misread", "page_number"}
-    assert sorted(O.found(df, part).collect()) == want
+    assert sorted(O.found(df, part).collect()) == want == sorted(O.found(None, whole).collect())
     assert sorted(O.texts(df, part).collect()) == sorted(O.texts(df, whole).collect())
 
 
-def test_vectors_need_the_same_count_at_every_size(spark, monkeypatch):
-    least = []
-    monkeypatch.setattr(O, "skip_grams", lambda documents, n, partitions: least.append(n) or {})
-    line = "the words of a line " * 1000
-    for times in (1, 600):
-        O.learn(spark.range(times).selectExpr("id AS doc_id", f"'{line}' AS text", "'native' AS scan_type"))
-    assert least[0] == least[1] <= O.OFTEN
+def _scans(spark, pairs):
+    """Scanned texts of (words, times), a line each, in an order that mixes them."""
+    rows = [(k, f"{words}\nand so on", "scanned") for words, times in pairs for k in range(times)]
+    return spark.createDataFrame(rows, "doc_id long, text string, scan_type string")
+
+
+RARE = "we read the instriiction before work"
+
+
+def test_vectors_link_what_counts_alone_do_not(spark):
+    others = [("our big red machine runs fast today", 30), ("der neue Plan kommt morgen sehr spät", 30)]
+    model = O.learn(_scans(spark, [("we read the instruction before work", 160), (RARE, 8), *others]))
+    assert "instriiction" in model.vectors and 160 < 8 * O.LINK
+    assert O.read(RARE, model).fixed[0] == {"instriiction": "instruction"}
+    without = O.Model(model.words, model.furniture, {})
+    assert O.read(RARE, without).fixed[0] == {}
+
+
+def test_vectors_refuse_what_counts_alone_would_link(spark):
+    pairs = [("the pump often fails after some hours", 1500), ("a stone slowly falls from that roof", 6), ("der neue Plan kommt morgen sehr spät", 300)]
+    model = O.learn(_scans(spark, pairs))
+    text = "a stone slowly falls from that roof"
+    assert model.words["fails"] > O.LINK * model.words["falls"]
+    assert O.read(text, model).fixed[0] == {} and O.read(text, O.Model(model.words, model.furniture, {})).fixed[0] == {"falls": "fails"}
+
+
+def test_the_same_words_have_vectors_at_every_size(spark):
+    line = "the words of a line that some text holds now " * 3
+    small, large = (O.learn(_scans(spark, [(line, times), ("once only here stands", 1)])).vectors for times in (3, 400))
+    assert set(small) == set(large) and "words" in small and "only" not in small
+
+
+def test_page_words_are_learnt_from_numbers_that_count_up(spark):
+    page = "some words that go on and on over lines\nand more of the words over the line"
+    rows = [(k, "\n\f".join(f"{page}\nOldal {n}" for n in (1, 2, 3)), "scanned") for k in range(5)] + [(9, f"{page}\nOldal 4\n{page}", "scanned")]
+    rows += [(20 + k, f"{page}\nTafel 4\n{page}\nTafel 9\n{page}", "scanned") for k in range(5)]
+    model = O.learn(spark.createDataFrame(rows, "doc_id long, text string, scan_type string"))
+    assert model.page_words == {O.skeleton("Oldal")}
+    assert {(r.doc_id, r.line_no) for r in O.found(None, model).where("noise = 'page_number'").collect()} == {(k, n) for k in range(5) for n in (3, 6, 9)} | {(9, 3)}
+
+
+def test_long_titles_and_pages_beside_long_lines(spark):
+    title = "Record of the inspections and repairs of all the drive units of the plant in the northern hall and"
+    page = f"{title}\nsome words that go on and on over lines\nand more of the words over the line"
+    assert len(title) > O.TITLE
+    model = O.learn(spark.createDataFrame([(k, f"{page} {k}\n\f{page} {k}", "scanned") for k in range(4)], "doc_id long, text string, scan_type string"))
+    assert [sorted(n) for n in O.read(f"{page}\n\f{page}", model).noise] == [["header"], [], [], ["header"], [], []]
+    assert O.is_page("x" * 200 + "\n\n" + "the words of a text that go on over lines\nand more of the words that go on over\nthe next line of it", None)
+    assert not O.is_page("x " * 200 + "\n\nfirst item\nsecond item\nthird item", None)
