@@ -10,7 +10,8 @@ A run rereads from the oldest transaction still open at the last successful
 run: a transaction whose ``updated_at`` lies at or before that run's start but
 whose delivery arrived after it. The overlap that this rereads is removed by
 an anti-join of key and version against the ledger of what earlier runs
-processed. A failed or unfinished run writes no ledger rows, so its records
+processed. A replay of a whole history does the same for all runs at once: a
+ledger row carries its run, and a run meets the rows of earlier runs only. A failed or unfinished run writes no ledger rows, so its records
 fall to the next successful run.
 
 Defined results: a null ``updated_at`` counts as before all others; null
@@ -21,6 +22,9 @@ result; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import datetime as dt
+import heapq
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,17 +54,16 @@ def changes(feed: DataFrame, chunk: str = "day") -> DataFrame:
     before = Window.unboundedPreceding, -1
     heads = (
         rows.groupBy(*KEY, "chunk").agg(F.max("state").alias("head"))
-        .withColumn("carried", F.max("head").over(Window.partitionBy(*KEY).orderBy("chunk").rowsBetween(*before)))
-        .where("carried is not null").select(*KEY, "chunk", "carried")
+        .withColumn("state", F.max("head").over(Window.partitionBy(*KEY).orderBy("chunk").rowsBetween(*before)))
+        .where("state is not null").select(*KEY, "chunk", "state")
     )
-    inside = Window.partitionBy(*KEY, "chunk").orderBy("arrived_at", "feed_id").rowsBetween(*before)
-    last = F.greatest("carried", F.max("state").over(inside))
+    # A chunk's carried state goes before its deliveries, as their first row.
+    inside = Window.partitionBy(*KEY, "chunk").orderBy(F.col("arrived_at").asc_nulls_first(), "feed_id").rowsBetween(*before)
     return (
-        rows.join(heads, [*KEY, "chunk"], "left")
-        .withColumn("last", last)
-        .where(
-            "last is null or state.u > last.u or (state.u = last.u and not (state.s <=> last.s))"
-        )
+        rows.unionByName(heads, allowMissingColumns=True)
+        .withColumn("last", F.max("state").over(inside))
+        .where("arrived_at is not null")
+        .where("last is null or state.u > last.u or (state.u = last.u and not (state.s <=> last.s))")
         .select("tab", "rec_id", F.col("feed_id").alias("version"), "status", "updated_at", "arrived_at")
     )
 
@@ -97,35 +100,75 @@ def reread_spans(feed: DataFrame, runs: DataFrame, longest_list: int = 100_000)
     )
 
 
+def readers(spans: DataFrame) -> list[tuple]:
+    """after, upto, first, again for each stretch of arrivals in (after, upto]: the run that reads it first and the first run that reads it once more.
+
+    A run reads (start of the run before, own start] for the first time and
+    [low, start of the run before] again. Runs that read a stretch a third time
+    meet the same ledger rows as the one that reads it twice, so a change has
+    at most two candidates, however long a transaction was open. The earliest
+    stretch has no ``after`` and is read once.
+    """
+    tick = dt.timedelta(microseconds=1)
+    rows = sorted((r.ordinal, None if r.low is None else r.low - tick, r.high) for r in spans.collect())
+    ends = sorted({h for _, _, h in rows} | {low for _, low, _ in rows if low is not None and low < rows[-1][2]})
+    waiting = sorted(((low, k) for k, low, _ in rows if low is not None), reverse=True)
+    before = {k: h for (k, _, _), (_, _, h) in zip(rows[1:], rows)}
+    active: list[int] = []
+    out, fresh, after = [], 0, None
+    for upto in ends:
+        while after is not None and waiting and waiting[-1][0] <= after:
+            heapq.heappush(active, waiting.pop()[1])
+        while active and before[active[0]] < upto:
+            heapq.heappop(active)
+        while rows[fresh][2] < upto:
+            fresh += 1
+        out.append((after, upto, rows[fresh][0], active[0] if active else None))
+        after = upto
+    return out
+
+
 def candidates(changed: DataFrame, spans: DataFrame) -> DataFrame:
-    """ordinal, run_id and change for each change that a run rereads; the ledger's keys are not yet removed.
+    """ordinal, fresh and change for each change that a run reads, for the first time or once more; the ledger's pairs are not yet removed.
 
-    A run without predecessor reads everything before it. The other runs' spans
-    are cut by day, so the join is on the day with a residual range.
+    Stretches are cut by day, so the join is on the day with a residual range;
+    what lies in the earliest stretch meets its one run by a filter.
     """
+    stretches = readers(spans)  # at most two for each run
     rows = changed.withColumn("at", F.col("arrived_at").cast("timestamp_ntz"))
-    later = spans.where("low is not null").withColumn("day", F.explode(F.sequence(F.to_date("low"), F.to_date("high"))))
-    cols = ["ordinal", "run_id", *[c for c in changed.columns]]
-    near = rows.withColumn("day", F.to_date("at")).join(F.broadcast(later), "day").where("at >= low and at <= high").select(*cols)
-    first = rows.join(F.broadcast(spans.where("low is null")), F.col("at") <= F.col("high")).select(*cols)
-    return first.unionByName(near)
+    if not stretches:
+        return rows.where("false").select(F.lit(0).alias("ordinal"), F.lit(True).alias("fresh"), *changed.columns)
+    _, upto, first, _ = stretches[0]
+    table = changed.sparkSession.createDataFrame(stretches[1:], "after timestamp_ntz, upto timestamp_ntz, first int, again int")
+    table = table.withColumn("day", F.explode(F.sequence(F.to_date("after"), F.to_date("upto"))))
+    read = F.array(F.struct(F.col("first").alias("ordinal"), F.lit(True).alias("fresh")), F.struct(F.col("again").alias("ordinal"), F.lit(False).alias("fresh")))
+    near = (
+        rows.withColumn("day", F.to_date("at")).join(F.broadcast(table), "day").where("at > after and at <= upto")
+        .withColumn("read", F.explode(read)).select("read.*", *changed.columns).where("ordinal is not null")
+    )
+    oldest = rows.where(F.col("at") <= F.lit(upto).cast("timestamp_ntz")).select(F.lit(first).alias("ordinal"), F.lit(True).alias("fresh"), *changed.columns)
+    return oldest.unionByName(near)
 
 
 def unprocessed(read: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Rows of ``read`` whose key and version are not in ``ledger``, each key and version once."""
-    return read.join(ledger.select(*LEDGER), LEDGER, "left_anti").dropDuplicates(LEDGER)
+    """Rows of ``read`` whose key and version are not in ``ledger``, each key and version once; where both have ``ordinal``, not in the ledger of an earlier run."""
+    if "ordinal" not in read.columns:
+        return read.join(ledger.select(*LEDGER), LEDGER, "left_anti").dropDuplicates(LEDGER)
+    done = ledger.select(*(F.col(c).alias(f"done_{c}") for c in (*LEDGER, "ordinal")))
+    same = [F.col(c) == F.col(f"done_{c}") for c in LEDGER]
+    return read.join(done, [*same, F.col("done_ordinal") < F.col("ordinal")], "left_anti").dropDuplicates([*LEDGER, "ordinal"])
 
 
 def replay(feed: DataFrame, runs: DataFrame) -> DataFrame:
     """run_id, tab, rec_id: what each successful run of a history covers, one row for each run and record.
 
-    All runs at once: the ledger that a run meets holds the key-version pairs
-    of the candidates of earlier runs, so a pair belongs to the earliest run
-    that reads it.
+    All runs at once: every run reads its candidates and anti-joins them with
+    the ledger's rows of earlier runs, which are what those read first.
     """
     spans = reread_spans(feed, runs)
     read = candidates(changes(feed), spans)
-    owner = read.groupBy(*LEDGER).agg(F.min("ordinal").alias("ordinal")).select("ordinal", *KEY).distinct()
+    ledger = read.where("fresh").select(*LEDGER, "ordinal")
+    owner = unprocessed(read.select(*LEDGER, "ordinal"), ledger).select("ordinal", *KEY).distinct()
     return owner.join(F.broadcast(spans.select("ordinal", "run_id")), "ordinal").select("run_id", *KEY)
 
 
@@ -137,5 +180,12 @@ def next_batch(feed: DataFrame, runs: DataFrame, ledger: DataFrame, run_id: int)
     the same rows.
     """
     upto = runs.where((F.col("state") == "ok") | (F.col("run_id") == run_id)).withColumn("state", F.lit("ok"))
-    read = candidates(changes(feed), reread_spans(feed, upto).where(F.col("run_id") == run_id))
-    return unprocessed(read, ledger)
+    changed = changes(feed)
+    span = reread_spans(feed, upto).where(F.col("run_id") == run_id).first()
+    if span is None:
+        return unprocessed(changed.where("false"), ledger)
+    at = F.col("arrived_at").cast("timestamp_ntz")
+    read = at <= F.lit(span.high).cast("timestamp_ntz")
+    if span.low is not None:
+        read &= at >= F.lit(span.low).cast("timestamp_ntz")
+    return unprocessed(changed.where(read), ledger)

@@ -73,3 +73,33 @@ def test_runs_one_by_one_with_a_ledger_equal_the_replay(spark):
             ledger = spark.createDataFrame([*ledger.collect(), *((r.tab, r.rec_id, r.version) for r in rows)], "tab string, rec_id string, version long")
             assert incremental.next_batch(f, spark.createDataFrame(runs[: k + 1], RUNS), ledger, run_id).count() == 0
     assert out == brute(feed, runs)
+
+
+def test_a_transaction_open_for_the_whole_history(spark):
+    feed = [(k, "documents", f"r{k % 7}", "ok", at(k), at(k), "x") for k in range(1, 120)] + [(500, "documents", "old", "ok", at(-5000), at(110), "x")]
+    runs = [(k, at(10 * k), None, "ok") for k in range(1, 13)]
+    f, r = spark.createDataFrame(feed, FEED), spark.createDataFrame(runs, RUNS)
+    read = incremental.candidates(incremental.changes(f), incremental.reread_spans(f, r))
+    assert read.groupBy("version").count().where("count > 2").count() == 0 and read.where("not fresh").count() > 90
+    assert set(replay(spark, feed, runs)) == brute(feed, runs)
+
+
+def test_stretches_against_all_runs(spark):
+    rng = random.Random(4)
+    for _ in range(5):
+        highs = sorted(rng.randrange(1000) for _ in range(9))
+        lows = [None, *(max(0, h - rng.choice([0, 5, 400])) for h in highs)]
+        spans = spark.createDataFrame([(k, at(low), at(h)) for k, (low, h) in enumerate(zip(lows, highs))], "ordinal int, low timestamp_ntz, high timestamp_ntz")
+        got = incremental.readers(spans)
+        for minute in range(0, 1001, 7):
+            a = at(minute)
+            want = [k for k, h in enumerate(highs) if (lows[k] is None or minute >= lows[k] or minute > highs[k - 1]) and minute <= h]
+            mine = [x for x in got if (x[0] is None or a > x[0]) and a <= x[1]]
+            assert len(mine) == (1 if want else 0)
+            if want:
+                assert mine[0][2] == want[0] and mine[0][3] == (want[1] if len(want) > 1 else None)
+
+
+def test_the_replay_is_an_anti_join_with_the_ledger(spark):
+    plan = incremental.replay(spark.createDataFrame([(1, "d", "a", "ok", at(1), at(2), "x")], FEED), spark.createDataFrame([(1, at(5), None, "ok"), (2, at(9), None, "ok")], RUNS))._jdf.queryExecution().toString()
+    assert "LeftAnti" in plan and "BroadcastNestedLoopJoin" not in plan
