@@ -89,7 +89,7 @@ _NO_TOKEN = re.compile(r"[_㐀-鿿]")
 _HAN = re.compile(r"[㐀-鿿]")
 _CODE = re.compile(r"[A-Z]{1,3}-\d+|[A-Z]\d+/\d+|\d+\.\d+\.[A-Z]\d+")
 _NUMBERLIKE = re.compile(r"[\dOolISB]*\d[\dOolISB]*")
-_DIGIT = re.compile(r"\d")
+_DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
 _ZERO = re.compile(r"[​-‏⁠﻿]|­(?=.)")
 _SUFFIX = re.compile(r"(?:\s*[|–—]\s*|\s+-\s+|\s{2,})[\dOlISB]{1,4}$")
 _D = r"[\dOlISB]{1,5}"
@@ -283,7 +283,7 @@ def counted(texts: list[tuple[str, bool]]) -> tuple[Counter, dict[str, list[int]
             if _CLOSED.search(line) or page_number(line) or len(line.strip()) > TITLE and not border(k, full, lines):
                 continue
             t, numbered = template(line)
-            if t.strip("#. ") == "":
+            if not _LETTER.search(t):
                 continue
             row = furniture[t]
             row[1] += 1
@@ -694,7 +694,7 @@ def _headers(lines: list[str], full: list[int], noise: list[set[str]], model: Mo
     own: dict[str, list[bool]] = defaultdict(list)
     short = list(_titles(lines, full, model))
     for k, _, t, numbered in short:
-        if "#" in t and t.strip("#. /-[]"):
+        if "#" in t and _LETTER.search(t):
             own[t].append(numbered or border(k, full, lines, model.page_words))
     for k, i, t, numbered in short:
         if t in model.furniture or numbered and t.removesuffix("#").rstrip() in model.furniture:
