@@ -5,8 +5,11 @@ other's canonical or width, spacing, font or ligature form, if both are
 invisible, a space, or a hyphen, or if they are letters of different scripts
 that are drawn alike. Ties are transitive: union-find gives the look-alike
 classes. Of each class the member that the corpus uses most becomes the
-representative, and an Aho-Corasick automaton over all other members rewrites
-a text from left to right, the longest member first.
+representative, and Aho-Corasick automata over all other members rewrite a text
+from left to right, the longest member first: code points first, then strings
+of them. A string is tied place by place: its node is the string of its
+characters' representatives, which all of its spellings become in the first
+rewriting, however many there are.
 
 Letter case, visible accents, superscripts and subscripts, encircled signs,
 fractions, digits, punctuation and line breaks are no ties.
@@ -23,7 +26,6 @@ rows are equal as stored and so no pair; other columns are ignored.
 from __future__ import annotations
 
 import functools
-import itertools
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -48,8 +50,8 @@ HYPHENS = "-‐‑‒−﹣－"
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"
 # Decompositions that keep the look; <super>, <sub>, <circle> and <fraction> change it.
 SAME_LOOK = {"<wide>", "<narrow>", "<small>", "<compat>", "<font>", "<noBreak>", "<square>", "<vertical>", "<initial>", "<medial>", "<final>", "<isolated>"}
-#: Spellings of one string by members of its characters' classes that become nodes of their own.
-MOST_SPELLINGS = 256
+#: Rows of one look that a task pairs with all rows of that look.
+SIDE = 256
 
 
 def invisible(ch: str) -> bool:
@@ -126,18 +128,18 @@ def look_alike_classes(counts: dict[str, int]) -> dict[str, str]:
     for parts in set("".join(strings.values())):
         if parts in drawn:
             classes.tie(drawn[parts], parts)
-    single = {m: ms for ms in classes.members().values() for m in ms}
-    # A string's spellings by look-alikes of its characters are tied to it, so that ties of strings are transitive too.
-    for ch, form in strings.items():
-        choices = [single.get(x, [x]) for x in form]
-        spelled = ["".join(s) for s in itertools.islice(itertools.product(*choices), MOST_SPELLINGS)]
-        forms = {form, *spelled, *(unicodedata.normalize("NFC", s) for s in spelled)}
-        for s in forms:
-            classes.tie(ch, s)
+    # A string's node is spelled in representatives, place by place, so that ties of strings are transitive too.
     weight = lambda s: counts.get(s, 0) if len(s) == 1 else min((counts.get(x, 0) for x in s), default=1 << 62)
+    rank = lambda m: (weight(m), -len(m), [-ord(x) for x in m])
+    single = {m: max(ms, key=rank) for ms in classes.members().values() for m in ms}
+    for ch, form in strings.items():
+        spelled = "".join(single.get(x, x) for x in form)
+        classes.tie(ch, spelled)
+        if len(composed := unicodedata.normalize("NFC", spelled)) == 1:
+            classes.tie(ch, composed)
     chosen: dict[str, str] = {}
     for ms in classes.members().values():
-        best = max(ms, key=lambda m: (weight(m), -len(m), [-ord(x) for x in m]))
+        best = max(ms, key=rank)
         chosen.update({m: best for m in ms if m != best})
     # A representative must consist of representatives itself.
     settle = {m: _settled(r, chosen) for m, r in chosen.items()}
@@ -145,36 +147,44 @@ def look_alike_classes(counts: dict[str, int]) -> dict[str, str]:
 
 
 def _settled(text: str, chosen: dict[str, str]) -> str:
-    for _ in range(4):
-        new = chosen.get(text) if text in chosen else "".join(chosen.get(x, x) for x in text)
-        if new == text:
-            break
-        text = new
+    """The text in representatives of representatives; a circle, which no text of one class gives, ends where it begins."""
+    seen = set()
+    while text not in seen:
+        seen.add(text)
+        text = chosen.get(text) if text in chosen else "".join(chosen.get(x, x) for x in text)
     return text
 
 
 class Rewriter:
-    """Greedy rewriting by all members of a table of classes."""
+    """Greedy rewriting by all members of a table of classes: code points, then strings in the form that this gives them."""
 
     def __init__(self, table: tuple[tuple[str, str], ...]):
-        self.automaton = ahocorasick.Automaton()
+        self.steps = [self._step([(m, r) for m, r in table if (len(m) == 1) == single]) for single in (True, False)]
+
+    @staticmethod
+    def _step(table: list[tuple[str, str]]) -> tuple:
+        automaton = ahocorasick.Automaton()
         for member, best in table:
-            self.automaton.add_word(member, (len(member), best))
-        self.automaton.make_automaton()
+            automaton.add_word(member, (len(member), best))
+        automaton.make_automaton()
         ends = sorted({m[-1] for m, _ in table})
-        self.may_match = regex.compile("[" + "".join(map(regex.escape, ends)) + "]").search if ends else lambda text: None
+        return automaton, regex.compile("[" + "".join(map(regex.escape, ends)) + "]").search if ends else lambda text: None
 
     def __call__(self, text: str) -> str:
-        if self.may_match(text) is not None:
-            out, at = [], 0
-            for last, (length, best) in self.automaton.iter_long(text):
-                out.append(text[at : last + 1 - length])
-                out.append(best)
-                at = last + 1
-            if out:
-                out.append(text[at:])
-                text = "".join(out)
+        if text.isascii() and self.steps[0][1](text) is None and self.steps[1][1](text) is None:
+            return text
         # Marks on one letter in another order look the same.
+        text = unicodedata.normalize("NFC", text)
+        for automaton, may_match in self.steps:
+            if may_match(text) is not None:
+                out, at = [], 0
+                for last, (length, best) in automaton.iter_long(text):
+                    out.append(text[at : last + 1 - length])
+                    out.append(best)
+                    at = last + 1
+                if out:
+                    out.append(text[at:])
+                    text = "".join(out)
         return text if text.isascii() else unicodedata.normalize("NFC", text)
 
 
@@ -256,13 +266,15 @@ def classes(prints: DataFrame) -> DataFrame:
 def pairs(prints: DataFrame) -> DataFrame:
     """doc_id_a < doc_id_b of documents stored differently that look the same.
 
-    Looks with one spelling only are dropped by an aggregation first; what is
-    left is joined on the look, which adaptive execution splits where one look
-    is frequent. Copies of one spelling never meet: the join pairs a row with
-    rows of other spellings only.
+    Looks with one spelling only are dropped by an aggregation first. What is
+    left is joined on the look and a salt: one side of a look of n rows is
+    spread over n / SIDE salts, the other comes once for each, so no task makes
+    more than SIDE times n pairs of a look. The result has every pair, which a
+    look of n rows and several spellings has about n * n of; ``classes`` says
+    the same in n rows.
     """
-    several = prints.groupBy("look").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("look")
-    kept = prints.join(several, "look", "left_semi")
-    a = kept.select("look", F.col("doc_id").alias("doc_id_a"), F.col("stored").alias("stored_a"))
-    b = kept.select("look", F.col("doc_id").alias("doc_id_b"), F.col("stored").alias("stored_b"))
-    return a.join(b, "look").where("doc_id_a < doc_id_b and stored_a <> stored_b").select("doc_id_a", "doc_id_b").distinct()
+    several = prints.groupBy("look").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    kept = prints.join(several.select("look", (F.col("n") / SIDE).cast("int").alias("last")), "look")
+    a = kept.select("look", F.pmod(F.xxhash64("doc_id"), F.col("last") + 1).cast("int").alias("salt"), F.col("doc_id").alias("doc_id_a"), F.col("stored").alias("stored_a"))
+    b = kept.select("look", F.explode(F.sequence(F.lit(0), "last")).alias("salt"), F.col("doc_id").alias("doc_id_b"), F.col("stored").alias("stored_b"))
+    return a.join(b, ["look", "salt"]).where("doc_id_a < doc_id_b and stored_a <> stored_b").select("doc_id_a", "doc_id_b").distinct()

@@ -12,7 +12,7 @@ naming the ranks of the items of a size that go to a range of containers.
 Items get their ranks within a size without a global sort: they are spread
 over slots by a hash, counted by slot and size, and numbered from the sum of
 the slots before, so a size that a third of all items have is numbered in
-many tasks. A join of rank and run gives the container.
+many tasks. A search for the rank among the runs gives the container.
 
 An item above the capacity alone is divided: full pieces fill containers of
 their own, the rest is an item like others.
@@ -25,14 +25,21 @@ gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The window is this share of the capacity; sizes of most volume tried between two others; sizes tried to fill a rest.
 WINDOW, FILLERS, EACH = 0.002, 3, 2
-SLOTS = 512
+#: Least number of slots, and items in each at most about (of all limits' shares of a slot each).
+SLOTS, SLOT_ITEMS = 512, 100_000
 LIMITS = 1000
+#: Runs that are sent to all tasks; a longer list is joined.
+RUNS = 2_000_000
 
 
 def nnls(columns: list[dict[int, int]], wanted: dict[int, float], weight: dict[int, float], rounds: int = 60) -> list[float]:
@@ -153,7 +160,8 @@ def pack(items: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
         return spark.createDataFrame([], items.select(F.lit(0).alias("limit_id"), F.lit(0).cast("long").alias("container"), *keys, F.lit(0).alias("piece"), F.lit(0).alias("n_tokens")).schema)
     each_limit = F.explode(F.array(*(F.struct(F.lit(i).cast("int").alias("limit_id"), F.lit(c).cast("int").alias("capacity")) for i, c in capacities))).alias("limit")
     size = F.coalesce(F.col("n_tokens"), F.lit(0)).cast("int")
-    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+    slots = max(SLOTS, items.count() // SLOT_ITEMS)
+    slot = F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
     each = items.select(*keys, size.alias("n_tokens"), slot.alias("slot"), each_limit).select("*", "limit.*").drop("limit")
     whole = F.when(F.col("n_tokens") > F.col("capacity"), (F.col("n_tokens") / F.col("capacity")).cast("int")).otherwise(F.lit(0))
     each = each.withColumn("full", whole).withColumn("size", F.col("n_tokens") - F.col("full") * F.col("capacity"))
@@ -167,16 +175,11 @@ def pack(items: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
         own = plan({r["size"]: r.n for r in histogram if r.limit_id == limit_id}, capacity)
         runs += [(limit_id, s, first, n, k, at) for s, first, n, k, at in own]
         starts.append((limit_id, max([1, *(at + n for _, _, n, _, at in own)])))
-    run_table = spark.createDataFrame(runs, "limit_id int, size int, first long, times long, per int, start long")
 
     # Rank of an item: the items of its size in the slots before, and its place in its own slot and size.
     inside = Window.partitionBy("limit_id", "slot", "size").orderBy(*keys)
     ranked = each.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["limit_id", "slot", "size"]).withColumn("rank", F.col("rank") + F.col("ahead"))
-    placed = (
-        ranked.join(F.broadcast(run_table), ["limit_id", "size"], "left")
-        .where("size = 0 or (rank >= first and rank < first + times * per)")
-        .withColumn("container", F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.expr("start + (rank - first) div per")))
-    )
+    placed = in_containers(ranked, runs)
     rest = placed.where("not (full > 0 and size = 0)").select("limit_id", "container", *keys, F.when(F.col("full") > 0, F.col("full") + 1).otherwise(0).alias("piece"), F.col("size").alias("n_tokens"))
     large = each.where("full > 0")
     room = Window.partitionBy("limit_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -192,6 +195,43 @@ def pack(items: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
     return rest.unionByName(divided)
 
 
+def in_containers(ranked: DataFrame, runs: list[tuple[int, int, int, int, int, int]], most: int = RUNS) -> DataFrame:
+    """``ranked(limit_id, size, rank, …)`` with ``container``, by runs (limit_id, size, first, times, per, start) that cover every rank of every size; 0 for items of size 0.
+
+    The runs of a size follow one another, so an item finds its own by binary
+    search. No more than ``most`` runs are sent to all tasks; a longer list is
+    joined on limit and size.
+    """
+    spark = ranked.sparkSession
+    if len(runs) > most:
+        table = spark.createDataFrame(runs, "limit_id int, size int, first long, times long, per int, start long")
+        rows = ranked.join(table, ["limit_id", "size"], "left").where("size = 0 or (rank >= first and rank < first + times * per)")
+        return rows.withColumn("container", F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.expr("start + (rank - first) div per"))).drop("first", "times", "per", "start")
+    ordered = np.array(sorted((i, s, first, per, start) for i, s, first, _, per, start in runs), np.int64).reshape(-1, 5)
+    # Limit and size by their place among the different ones: the search is for one sorted list of (place, first).
+    groups, place = np.unique(ordered[:, :2], axis=0, return_inverse=True)
+    shared = spark.sparkContext.broadcast((groups, np.searchsorted(place.ravel(), np.arange(len(groups) + 1)), ordered[:, 2:]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, begins, own = shared.value
+        group_of = {(int(i), int(s)): k for k, (i, s) in enumerate(groups)}
+        for batch in batches:
+            limit, size, rank = (batch.column(c).to_numpy() for c in ("limit_id", "size", "rank"))
+            container = np.zeros(batch.num_rows, np.int64)
+            order = np.lexsort((size, limit))
+            cut = np.flatnonzero(np.diff(limit[order]) | np.diff(size[order])) + 1
+            for rows in np.split(order, cut) if batch.num_rows else ():
+                if size[rows[0]]:
+                    k = group_of[int(limit[rows[0]]), int(size[rows[0]])]
+                    mine = own[begins[k] : begins[k + 1]]
+                    first, per, start = mine[np.searchsorted(mine[:, 0], rank[rows], "right") - 1].T
+                    container[rows] = start + (rank[rows] - first) // per
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(container)], names=[*batch.schema.names, "container"])
+
+    slim = ranked.withColumn("rank", F.col("rank").cast("long"))
+    return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("container", T.LongType())]))
+
+
 def usage(packed: DataFrame, limits: DataFrame) -> DataFrame:
     """limit_id, n_containers, n_tokens, largest: how full the containers are; container 0 holds nothing."""
     per = packed.where("n_tokens > 0").groupBy("limit_id", "container").agg(F.sum("n_tokens").alias("used"))

@@ -15,15 +15,19 @@ def _text(df: DataFrame) -> DataFrame:
     return df.select(F.col("text").cast("string").alias("text"))
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+def _prints(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return lookalike.pairs(lookalike.fingerprints(docs, lookalike.class_table(_text(docs))))
+    # Read twice, for the looks of several spellings and for their rows: texts are rewritten once.
+    return cut_lineage(lookalike.fingerprints(docs, lookalike.class_table(_text(docs))))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.pairs(_prints(spark, folder))
 
 
 def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Each document that looks like a differently stored one, with its class."""
-    docs = table(spark, folder, "documents")
-    return lookalike.classes(lookalike.fingerprints(docs, lookalike.class_table(_text(docs))))
+    return lookalike.classes(_prints(spark, folder))
 
 
 def p2_texts(spark: SparkSession, folder: str) -> DataFrame:

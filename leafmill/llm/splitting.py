@@ -11,8 +11,11 @@ Defined results: texts within a limit, null and blank ones give no pieces;
 pieces are numbered from 1; the pieces without their overlaps give the text
 again, character for character; a text without natural boundaries is cut
 between characters; where no place's overlap begins at a character's start,
-the overlap is a little longer. Equal texts give equal pieces. A limit that
-isn't larger than its overlap is refused.
+the overlap is a little longer. ``n_tokens`` is the number of tokens of the
+piece encoded on its own, ``first_token`` to ``last_token`` are its tokens
+within the text; both numbers are within the limit, and where nothing is left
+to cut so that they are, ``fits`` is false. Equal texts give equal pieces. A
+limit that isn't larger than its overlap is refused.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ MIDDLE = 0.5
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER, NONE = 6, 5, 4, 3, 2, 1, 0
 # Signs that end sentences and clauses, and signs that may close them.
 SENTENCE_ENDS, CLAUSE_ENDS, CLOSERS = ".!?…。！？", ",;:，；：、", "\"'”’»)）]】"
-SCHEMA = "limit_id int, doc_id long, piece_no int, first_token int, last_token int, n_tokens int, text string"
+SCHEMA = "limit_id int, doc_id long, piece_no int, first_token int, last_token int, n_tokens int, fits boolean, text string"
 
 
 # What a character is, a bit each: for every code point one byte.
@@ -93,6 +96,8 @@ def cuts(strength: np.ndarray, limit: int, overlap: int) -> list[int]:
         for wider in (usable, strength):
             if values.max(initial=0) == NONE:
                 values, base = wider[a + 1 : b], a + 1
+        if values.max(initial=0) == NONE:
+            continue  # one character
         places = np.flatnonzero(values == values.max()) + base
         at = int(places[np.abs(places - middle).argmin()])
         out.append(at)
@@ -100,8 +105,8 @@ def cuts(strength: np.ndarray, limit: int, overlap: int) -> list[int]:
     return sorted(out)
 
 
-def pieces(enc: Encoder, text: str, ids: np.ndarray, limit: int, overlap: int, places: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, str]]:
-    """(first token, token after the last, number of tokens, text) of each piece, overlap included; ``places`` are the text's ``strengths``, if they are known."""
+def pieces(enc: Encoder, text: str, ids: np.ndarray, limit: int, overlap: int, places: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, bool, str]]:
+    """(first token, token after the last, tokens on its own, whether it fits, text) of each piece, overlap included; ``places`` are the text's ``strengths``, if they are known."""
     strength, char = places or strengths(text, np.cumsum(enc.token_lengths(ids)))
     begins = cuts(strength, limit, overlap)
     out = []
@@ -111,22 +116,32 @@ def pieces(enc: Encoder, text: str, ids: np.ndarray, limit: int, overlap: int, p
     return out
 
 
-def _with_overlap(enc: Encoder, text: str, strength: np.ndarray, char: np.ndarray, a: int, b: int, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
+def _parts_words(text: str, at: int) -> bool:
+    """True if the place is the end of a text or lies between a visible character and a blank.
+
+    No piece of the split pattern goes on from a visible character into a
+    blank, and none looks back, so the tokens on both sides are the same
+    whether or not the text is cut there.
+    """
+    return at in (0, len(text)) or not text[at - 1].isspace() and text[at].isspace()
+
+
+def _with_overlap(enc: Encoder, text: str, strength: np.ndarray, char: np.ndarray, a: int, b: int, limit: int, overlap: int) -> list[tuple[int, int, int, bool, str]]:
     first = max(0, a - overlap) if a else 0
     while first > 0 and char[first] < 0:
         first -= 1
-    piece = text[char[first] : char[b] if b < len(char) else len(text)]
-    # Encoded on its own a piece can have another number of tokens than within its text.
-    size = b - first
-    if size > 0.9 * limit:
-        size = enc.count(piece)
-    if max(size, b - first) > limit and b - a > 1:
-        inner = strength[a + 1 : b]
-        places = np.flatnonzero(inner == inner.max(initial=0)) + a + 1
-        at = int(places[np.abs(places - (a + b) // 2).argmin()])
-        if char[at] >= 0:
+    start, end = char[first], char[b] if b < len(char) else len(text)
+    piece = text[start:end]
+    # Encoded on its own a piece can have another number of tokens than within its text, unless both ends part words.
+    size = b - first if _parts_words(text, start) and _parts_words(text, end) else enc.count(piece)
+    fits = max(size, b - first) <= limit
+    if not fits and b - a > 1:
+        inner = np.where(char[a + 1 : b] >= 0, strength[a + 1 : b], -1)
+        places = np.flatnonzero(inner == inner.max()) + a + 1
+        if inner.max() >= 0:
+            at = int(places[np.abs(places - (a + b) // 2).argmin()])
             return _with_overlap(enc, text, strength, char, a, at, limit, overlap) + _with_overlap(enc, text, strength, char, at, b, limit, overlap)
-    return [(first, b, b - first, piece)]
+    return [(first, b, size, fits, piece)]
 
 
 def split(documents: DataFrame, limits: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -147,8 +162,8 @@ def split(documents: DataFrame, limits: DataFrame, path: str | None = None, patt
                 above = [row for row in table if len(ids) > row[1]]
                 places = strengths(text, np.cumsum(enc.token_lengths(ids))) if above else None
                 for limit_id, limit, overlap in above:
-                    for k, (a, b, n, piece) in enumerate(pieces(enc, text, ids, limit, overlap, places)):
-                        rows.append((limit_id, doc_id, k + 1, a, b - 1, n, piece))
+                    for k, (a, b, n, fits, piece) in enumerate(pieces(enc, text, ids, limit, overlap, places)):
+                        rows.append((limit_id, doc_id, k + 1, a, b - 1, n, fits, piece))
                         volume += len(piece)
                 if volume > 4_000_000:
                     yield _batch(rows)
@@ -162,7 +177,7 @@ def split(documents: DataFrame, limits: DataFrame, path: str | None = None, patt
 
 @functools.cache
 def _schema() -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in SCHEMA.split(", "))])
 
 

@@ -56,3 +56,29 @@ def test_frames_against_brute_force(spark):
     new = [r.text for r in L.normalise(df, table, ["doc_id"]).collect()]
     assert new == [None if t is None else rewrite(t) for t in texts]
     assert L.pairs(L.fingerprints(df.where("false"), L.class_table(df.where("false").select("text")))).count() == 0
+
+
+def test_spellings_beyond_any_count_of_products(spark):
+    # A square sign of many letters has more spellings than could be listed: 3 ** 8 of this one.
+    form = L.plain_form("\ufdfa")
+    letters = "оοｏеｅcсϲ" + "".join(set(form))
+    counts = Counter({x: 5 for x in letters + "oe\ufdfa\ufb03fi\uff46\uff49"})
+    table = tuple(sorted((m, r) for m, r in L.look_alike_classes(counts).items() if m))
+    rewrite = L.Rewriter(table)
+    assert rewrite("\ufdfa") == rewrite(form)
+    assert {rewrite(x) for x in ("\ufb03", "ffi", "\uff46fi", "f\uff46\uff49", "\uff46\uff46\uff49")} == {rewrite("ffi")}
+
+
+def test_classes_do_not_depend_on_the_order_of_the_alphabet():
+    points = [chr(k) for k in range(0x20, 0x3000) if not 0xD800 <= k < 0xE000]
+    counts = {c: 1 + k % 7 for k, c in enumerate(points)}
+    shuffled = list(counts.items())
+    random.Random(1).shuffle(shuffled)
+    assert L.look_alike_classes(counts) == L.look_alike_classes(dict(shuffled))
+
+
+def test_a_hot_look_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(L, "SIDE", 4)
+    rows = [(k, bytes([1]), bytes([k % 3])) for k in range(60)] + [(100 + k, bytes([2 + k]), b"x") for k in range(5)]
+    got = {tuple(r) for r in L.pairs(spark.createDataFrame(rows, "doc_id long, look binary, stored binary")).collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 3 != j % 3}

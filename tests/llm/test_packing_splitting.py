@@ -75,9 +75,9 @@ def test_pieces_round_trip(enc, text, limit):
     ends = np.concatenate(([0], np.cumsum(enc.token_lengths(ids))))
     assert ps[0][0] == 0 and ps[-1][1] == len(ids)
     out = b""
-    for k, (a, b, n, piece) in enumerate(ps):
+    for k, (a, b, n, fits, piece) in enumerate(ps):
         before = ps[k - 1][1] if k else 0
-        assert piece.encode() == raw[ends[a] : ends[b]] and n == b - a and before >= a >= before - overlap - 4
+        assert piece.encode() == raw[ends[a] : ends[b]] and n == enc.count(piece) and fits == (max(n, b - a) <= size) and before >= a >= before - overlap - 4
         out += raw[ends[before] : ends[b]]
     assert out == raw
 
@@ -87,8 +87,8 @@ def test_natural_boundaries_and_limits(enc):
     ids = np.frombuffer(enc.encode(text), np.int32)
     ps = splitting.pieces(enc, text, ids, 128, 16)
     strength, _ = splitting.strengths(text, np.cumsum(enc.token_lengths(ids)))
-    assert all(n <= 128 and enc.count(t) <= 128 for _, _, n, t in ps) and len(ps) > 3
-    assert all(strength[b] >= splitting.SENTENCE for _, b, _, _ in ps[:-1])
+    assert all(b - a <= 128 and n <= 128 and n == enc.count(t) and fits for a, b, n, fits, t in ps) and len(ps) > 3
+    assert all(strength[b] >= splitting.SENTENCE for _, b, *_ in ps[:-1])
     assert all(p[1] - q[0] == 16 for p, q in zip(ps, ps[1:]))
 
 
@@ -111,3 +111,29 @@ def test_a_longer_table_of_limits_is_refused(spark):
     with pytest.raises(ValueError):
         splitting.split(spark.createDataFrame([(1, "a")], "doc_id long, text string"), limits)
     assert len(packing.all_limits(limits.where("limit_id > 0"))) == packing.LIMITS
+
+
+def test_sizes_of_pieces_are_exact_at_every_size(enc):
+    rng = random.Random(8)
+    for _ in range(30):
+        text = "".join(rng.choice(["word", " ", "  ", "\n", "x1", ", ", "。汉字", "😀", "it's", "\t", "2024-05"]) for _ in range(400))
+        ids = np.frombuffer(enc.encode(text), np.int32)
+        for a, b, n, fits, piece in splitting.pieces(enc, text, ids, 40, 8):
+            assert n == enc.count(piece) and fits and b - a <= 40 and n <= 40
+
+
+def test_a_piece_that_nothing_can_cut_is_marked(enc):
+    text = "😀" * 6
+    ids = np.frombuffer(enc.encode(text), np.int32)
+    got = splitting.pieces(enc, text, ids, 1, 0)
+    assert "".join(t for *_, t in got) == text and [fits for _, _, _, fits, _ in got] == [enc.count(t) <= 1 for *_, t in got]
+
+
+def test_long_lists_of_runs_are_joined_with_the_same_result(spark):
+    rng = random.Random(6)
+    histogram = Counter(rng.randrange(1, 60) for _ in range(3000))
+    runs = [(1, *r) for r in packing.plan(histogram, 64)]
+    ranked = spark.createDataFrame([(1, s, k, "x") for s, n in histogram.items() for k in range(n)] + [(1, 0, 0, None)], "limit_id int, size int, rank long, key string")
+    sent = sorted(tuple(r) for r in packing.in_containers(ranked, runs).select("size", "rank", "container").collect())
+    joined = sorted(tuple(r) for r in packing.in_containers(ranked, runs, 0).select("size", "rank", "container").collect())
+    assert sent == joined and len(sent) == 3001
