@@ -26,6 +26,7 @@ rows are equal as stored and so no pair; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -102,11 +103,24 @@ class Classes:
         return out
 
 
+@functools.cache
+def _composed() -> list[tuple[str, str]]:
+    """Every character that is composed of others, but for Hangul, with its parts."""
+    points = map(chr, itertools.chain(range(0xC0, 0xAC00), range(0xD7A4, 0xD800), range(0xF900, 0x10000), range(0x11000, 0x1E000), range(0x2F800, 0x2FA20)))
+    return [(ch, form) for ch in points if len(form := unicodedata.normalize("NFD", ch)) > 1]
+
+
+def _composable(alphabet: str) -> list[str]:
+    """Characters outside an alphabet that composition can make of its characters."""
+    own, parts = set(alphabet), set(unicodedata.normalize("NFD", alphabet))
+    return [ch for ch, form in _composed() if ch not in own and parts.issuperset(form)]
+
+
 def look_alike_classes(counts: dict[str, int]) -> dict[str, str]:
     """member -> representative, for all members that aren't their class's representative, given the corpus alphabet with counts."""
     drawn = {x: latin for latin, others in DRAWN_ALIKE.items() for x in others}
     classes, strings = Classes(), {}
-    for ch in counts:
+    for ch in [*counts, *_composable("".join(counts))]:
         if invisible(ch):
             classes.tie("", ch)
             continue

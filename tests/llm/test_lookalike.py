@@ -82,3 +82,9 @@ def test_a_hot_look_is_spread_over_tasks(spark, monkeypatch):
     rows = [(k, bytes([1]), bytes([k % 3])) for k in range(60)] + [(100 + k, bytes([2 + k]), b"x") for k in range(5)]
     got = {tuple(r) for r in L.pairs(spark.createDataFrame(rows, "doc_id long, look binary, stored binary")).collect()}
     assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 3 != j % 3}
+
+
+def test_a_composition_that_the_corpus_has_in_parts_only():
+    a, b = "deuxième", "deuxi\u0435\u0300me"
+    rewrite = rewriter([a, b])
+    assert rewrite(a) == rewrite(b)
