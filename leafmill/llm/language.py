@@ -5,14 +5,21 @@ one of these languages?", answered by a binary classifier over character
 n-grams of words. A sentence's bits are decoded to the codeword of least loss,
 each bit's loss weighted by how well its classifier did in training. The
 share of the best codeword among all is the confidence; a sentence whose best
-two codewords are too close is ambiguous and takes the language around it.
+two codewords are too close is ambiguous and takes the language around it. A
+text of which no sentence is clear is decoded as a whole and flagged ambiguous.
+
+Each bit's classifier begins as the log-odds of its n-grams and is corrected
+row by row where its vote is wrong or narrow (a perceptron with a margin).
 
 The classifiers are fitted on a bounded sample of labelled rows (``SAMPLE``);
 as labels may be wrong, rows that the first fit contradicts are left out of
-the second. All else reads every row and whole texts, in one narrow pass.
+the second. Sampled texts are read whole. All else reads every row and whole texts, in one
+narrow pass.
 
-Defined results: null, empty or blank texts and texts without a whole
-sentence have no language; of repeated rows (translations arrive several
+Defined results: every document and translation has a row; null, empty or blank
+texts and texts without a word have language ``und`` and confidence 0; texts
+without a whole clear sentence are flagged ambiguous, and never contradict
+their label; a translation has one row, by its largest share; of repeated rows (translations arrive several
 times) one result row comes out; labels in another notation or with a region
 count as the language they name; ``mul`` names no single language and fits a
 text of several; extra columns are ignored.
@@ -60,9 +67,10 @@ MULTIPLE = "mul"
 _LABEL = {x: lang for lang, names in NOTATIONS.items() for x in names.split()}
 
 _WORDS = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’][^\W\d_㐀-鿿]+)*").findall
-#: Quoted phrases, markup and addresses say nothing of the language.
-_ASIDE = re.compile(r"“[^”]{0,80}”|«[^»]{0,80}»|<[^<>\n]{1,200}>|\{\{[^{}]*\}\}|\$[^$\n]{1,200}\$|\\[a-zA-Z]+|&\w+;|https?://\S+|\[\[(?:[^\[\]|\n]*\|)?")
+#: Quoted phrases (of one sentence at most), markup and addresses say nothing of the language.
+_ASIDE = re.compile(r"“(?:[^”.!?…。！？\n]|\n(?!\s*\n)|[.!?…](?!\s))*[.!?…。！？]?\s*”|«(?:[^».!?…。！？\n]|\n(?!\s*\n)|[.!?…](?!\s))*[.!?…。！？]?\s*»|<[^<>\n]+>|\{\{[^{}]*\}\}|\$[^$\n]+\$|\\[a-zA-Z]+|&\w+;|https?://\S+|\[\[(?:[^\[\]|\n]*\|)?")
 _MAYBE_ASIDE = re.compile(r"[“«<{$\\&\[]|https?:").search
+_LATIN, _CYRILLIC = re.compile(r"[A-Za-zÀ-ɏ]").search, re.compile(r"[Ѐ-ԯ]").search
 _WIDE = re.compile(r"[！-￮]").search
 _END = re.compile(r"[.!?…][)\"”’\]*_]*\s+|[。！？]\s*|\n[ \t]*\n\s*|\f")
 _WHOLE = ".!?…。！？"
@@ -110,13 +118,17 @@ CODE = codewords()
 @functools.lru_cache(maxsize=CACHE)
 def _grams(word: str) -> np.ndarray:
     """Buckets of a word's n-grams of 1 to LONGEST characters, with its borders."""
-    word = f"<{word.lower()[:40]}>"
+    word = f"<{word.lower()}>"
     digest = xxhash.xxh3_64_intdigest
     return np.array([digest(word[i : i + n]) % BUCKETS for n in range(1, LONGEST + 1) for i in range(len(word) - n + 1)], np.int32)
 
 
 def words_of(sentence: str) -> list[str]:
-    return _WORDS(sentence)
+    """The words of a sentence, but for those that mix Latin and Cyrillic letters: look-alikes, which say nothing of the language."""
+    words = _WORDS(sentence)
+    if _CYRILLIC(sentence) and _LATIN(sentence):
+        return [w for w in words if not (_CYRILLIC(w) and _LATIN(w))]
+    return words
 
 
 def sentences(text: str) -> list[tuple[str, bool]]:
@@ -196,8 +208,29 @@ class Model:
         return np.where(n > 0, best, -1), np.where(n > 0, share, 0.0)
 
 
+#: The vote below which a row corrects a bit, the size of a correction, and how often the rows are gone through.
+MARGIN, RATE, ROUNDS = 0.1, 0.1, 2
+
+
+def corrected(weights: np.ndarray, rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Weights after every row of (buckets, language index) moved the bits whose vote was wrong or narrow."""
+    weights = weights.copy()
+    for _ in range(ROUNDS):
+        moved = False
+        for grams, lang in rows:
+            wrong = weights[grams].mean(0) * CODE[lang] < MARGIN
+            if wrong.any():
+                moved = True
+                buckets, n = np.unique(grams, return_counts=True)
+                # The mean of the text's n-grams moves by RATE.
+                weights[buckets] += RATE * len(grams) / (n**2).sum() * n[:, None] * (CODE[lang] * wrong)
+        if not moved:
+            break
+    return np.clip(weights, -4, 4).astype(np.float32)
+
+
 def fit(rows: list[tuple[str, int]]) -> Model:
-    """Binary classifiers of (text, language index) rows: each bit's log-odds of every n-gram, with a prior that keeps rare ones near zero."""
+    """Binary classifiers of (text, language index) rows: each bit begins with its log-odds of every n-gram, with a prior that keeps rare ones near zero, and is corrected by the rows."""
 
     def counted(pairs: list[tuple[str, int]]) -> np.ndarray:
         counts = np.zeros((len(LANGUAGES), BUCKETS))
@@ -220,7 +253,9 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     kept = [r for r, g, s in zip(rows, guessed, sure) if g == r[1] and s > 0.8]
     if len({lang for _, lang in kept}) < 2:
         kept = rows
-    model = Model(solve(counted(kept)), np.ones(BITS, np.float32))
+    weights = solve(counted(kept))
+    grams = [(np.concatenate([_grams(w) for w in words]), lang) for t, lang in kept if (words := words_of(_ASIDE.sub(" ", t)))]
+    model = Model(corrected(weights, grams), np.ones(BITS, np.float32))
     if kept:
         votes, _ = model.margins([words_of(_ASIDE.sub(" ", t)) for t, _ in kept])
         right = (np.sign(votes) == CODE[[lang for _, lang in kept]]).mean(0)
@@ -231,8 +266,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 def fit_on(documents: DataFrame, sample: int = SAMPLE) -> Model:
     """A model fitted on about ``sample`` labelled documents, spread by a hash of their id."""
     labelled = documents.withColumn("label", label_column(F.col("lang"))).where(F.col("label").isin(*LANGUAGES))
-    text = F.substring(F.col("text").cast("string"), 1, 4000).alias("text")
-    rows = bounded_sample(labelled.select("doc_id", "label", text).where(F.length("text") >= 60), sample, labelled.count())
+    rows = bounded_sample(labelled.select("doc_id", "label", F.col("text").cast("string").alias("text")).where(F.length("text") >= 60), sample, labelled.count())
     return fit([(r.text, LANGUAGES.index(r.label)) for r in rows])
 
 
@@ -275,11 +309,36 @@ def segments(model: Model, texts: list[str]) -> list[list[tuple[int, float, int]
     return out
 
 
-ASSIGNED = "tab string, rec_id string, seg_no int, lang string, confidence double, label string"
+ASSIGNED = "tab string, rec_id string, seg_no int, lang string, confidence double, ambiguous boolean, label string"
+UNKNOWN = "und"
+
+
+def verdicts(model: Model, texts: list[str | None], single: list[bool]) -> list[list[tuple[int, str, float, bool]]]:
+    """For each text its (seg_no, language, confidence, ambiguous); ``single`` texts have one row, of the language with most letters."""
+    found = segments(model, texts)
+    unclear = [k for k, runs in enumerate(found) if not runs]
+    words = [words_of(_ASIDE.sub(" ", texts[k])) if texts[k] else [] for k in unclear]
+    whole = dict(zip(unclear, zip(*model.decode(words)))) if unclear else {}
+    out = []
+    for k, runs in enumerate(found):
+        if not runs:
+            lang, sure = whole[k]
+            out.append([(0, LANGUAGES[lang] if lang >= 0 else UNKNOWN, float(sure), True)])
+        elif single[k] and len(runs) > 1:
+            letters: dict[int, list[float]] = {}
+            for lang, sure, size in runs:
+                own = letters.setdefault(lang, [0.0, 0.0])
+                own[0] += size
+                own[1] += sure * size
+            lang, (size, sure) = max(letters.items(), key=lambda x: (x[1][0], -x[0]))
+            out.append([(0, LANGUAGES[lang], sure / sum(s for s, _ in letters.values()), False)])
+        else:
+            out.append([(j + 1 if len(runs) > 1 else 0, LANGUAGES[lang], float(sure), False) for j, (lang, sure, _) in enumerate(runs)])
+    return out
 
 
 def assign(rows: DataFrame, model: Model) -> DataFrame:
-    """One row for each segment of ``rows(tab, rec_id, label, text)``: seg_no 0 and the language of a text in one language, seg_no from 1 for several."""
+    """Rows for each of ``rows(tab, rec_id, label, text)``: seg_no 0 and the language of a text in one language, seg_no from 1 for several; translations have seg_no 0 only."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # a fixed size: buckets times bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,27 +347,26 @@ def assign(rows: DataFrame, model: Model) -> DataFrame:
             out: list[tuple] = []
             for start in range(0, batch.num_rows, AT_ONCE):
                 tabs, recs, labels, texts = (c.to_pylist() for c in batch.slice(start, AT_ONCE).columns)
-                for tab, rec, label, runs in zip(tabs, recs, labels, segments(found, texts)):
-                    for k, (lang, sure, _) in enumerate(runs):
-                        out.append((tab, rec, k + 1 if len(runs) > 1 else 0, LANGUAGES[lang], float(sure), label))
+                for tab, rec, label, own in zip(tabs, recs, labels, verdicts(found, texts, [t == "translations" for t in tabs])):
+                    out += [(tab, rec, *v, label) for v in own]
             if out:
                 yield pa.record_batch([pa.array(c) for c in zip(*out)], schema=_ARROW)
 
     return rows.select("tab", "rec_id", "label", "text").mapInArrow(run, ASSIGNED)
 
 
-_ARROW = pa.schema([("tab", pa.string()), ("rec_id", pa.string()), ("seg_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("label", pa.string())])
+_ARROW = pa.schema([("tab", pa.string()), ("rec_id", pa.string()), ("seg_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("ambiguous", pa.bool_()), ("label", pa.string())])
 
 
 def labelled_rows(documents: DataFrame, translations: DataFrame) -> DataFrame:
-    """documents and translations as rows (tab, rec_id, label, text) that have a text."""
+    """documents and translations as rows (tab, rec_id, label, text)."""
     docs = documents.select(F.lit("documents").alias("tab"), F.col("doc_id").cast("string").alias("rec_id"), label_column(F.col("lang")).alias("label"), F.col("text").cast("string").alias("text"))
     jobs = translations.select(F.lit("translations").alias("tab"), F.col("id").cast("string").alias("rec_id"), label_column(F.col("target_lang")).alias("label"), F.col("text").cast("string").alias("text"))
-    return docs.unionByName(jobs).where(F.length("text") > 0)
+    return docs.unionByName(jobs)
 
 
 def contradictions(assigned: DataFrame) -> DataFrame:
     """tab, rec_id, seg_no, lang where the label is missing or wrong, or the document is in several languages."""
-    several = (F.col("tab") == "documents") & (F.col("seg_no") > 0)
-    single = (F.col("seg_no") == 0) & (F.col("lang") != F.col("label")) & (F.col("label") != MULTIPLE)
+    several = F.col("seg_no") > 0
+    single = (F.col("seg_no") == 0) & ~F.col("ambiguous") & (F.col("lang") != F.col("label")) & (F.col("label") != MULTIPLE)
     return assigned.where(several | single).select("tab", "rec_id", "seg_no", "lang").distinct()

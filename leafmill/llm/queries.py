@@ -70,7 +70,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
-    """Language and confidence of every document, translation and segment."""
+    """Language, confidence and ambiguity of every document, translation and segment."""
     return _assigned(spark, folder).drop("label").distinct()
 
 

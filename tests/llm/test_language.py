@@ -55,6 +55,9 @@ def test_frames(spark, model):
     got = sorted(tuple(r) for r in L.contradictions(L.assign(L.labelled_rows(docs, jobs), model)).collect())
     assert got == [("documents", "2", 0, "en"), ("documents", "3", 0, "de"), ("documents", "4", 1, "fr"), ("documents", "4", 2, "ru"), ("translations", "b", 0, "pt")]
     assert L.assign(L.labelled_rows(docs.where("false"), jobs.where("false")), model).count() == 0
+    every = L.assign(L.labelled_rows(docs, jobs), model).collect()
+    assert {(r.tab, r.rec_id) for r in every} == {("documents", str(k)) for k in range(1, 8)} | {("translations", k) for k in "abc"}
+    assert {(r.rec_id, r.lang, r.confidence, r.ambiguous) for r in every if r.rec_id in "56c"} == {(k, "und", 0.0, True) for k in "56c"}
     labelled = spark.createDataFrame([(k, t, lang, "clash") for k, (lang, t) in enumerate(list(TEXT.items()) * 3)], "doc_id long, text string, lang string, label string")
     assert langs(L.fit_on(labelled), TEXT["en"]) == ["en"] and L.fit_on(docs.where("false")).weights.shape == (L.BUCKETS, L.BITS)
 
@@ -62,3 +65,31 @@ def test_frames(spark, model):
 def test_wrong_labels_are_left_out():
     rows = [(t, L.LANGUAGES.index(k)) for k, t in TEXT.items() for _ in range(8)] + [(TEXT["en"], 4)]
     assert langs(L.fit(rows), TEXT["en"]) == ["en"]
+
+
+def test_unclear_texts_are_flagged_and_translations_have_one_row(model):
+    mixed = TEXT["pt"] + " " + TEXT["pt"] + " " + TEXT["ru"]
+    got = L.verdicts(model, ["Offene Punkte", mixed, mixed, "", "77 88"], [False, True, False, True, False])
+    assert [len(v) for v in got] == [1, 1, 2, 1, 1]
+    assert got[0][0][0] == 0 and got[0][0][3] and got[0][0][1] in L.LANGUAGES and got[1][0][:2] == (0, "pt") and got[1][0][2] < 0.9 and not got[1][0][3]
+    assert [v[:2] for v in got[2]] == [(1, "pt"), (2, "ru")] and got[3] == got[4] == [(0, "und", 0.0, True)]
+
+
+def test_bits_are_corrected_by_the_rows():
+    grams = [np.array([1, 2, 3, 3]), np.array([4, 5])]
+    weights = L.corrected(np.zeros((8, L.BITS), np.float32), [(grams[0], 0), (grams[1], 5)])
+    for g, lang in zip(grams, (0, 5)):
+        assert (weights[g].mean(0) * L.CODE[lang] > 0).all()
+    right = np.tile(L.CODE[0], (8, 1))
+    assert (L.corrected(right, [(grams[0], 0)]) == right).all()
+
+
+def test_long_words_and_texts_are_read_whole(spark):
+    word = "x" * 50
+    assert len(L._grams(word + "ab")) > len(L._grams(word))
+    assert langs_of_quotes("“" + "Повторить проверку всех деталей и узлов " * 5 + ".” ") == ["en"]
+
+
+def langs_of_quotes(quote):
+    model = L.fit([(t, L.LANGUAGES.index(k)) for k, t in TEXT.items() for _ in range(3)])
+    return langs(model, TEXT["en"] + " " + quote + TEXT["en"])
