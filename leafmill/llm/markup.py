@@ -3,12 +3,13 @@
 HTML, Markdown, wiki and LaTeX stand side by side in one text, often unclosed
 or escaped. A scanner proposes a node wherever markup may begin: tags,
 environments, fences, runs of list lines, table rows, marks in a line. Nodes
-nest by their spans. Each has features: its kind, subtree density, attribute
-tokens, depth, sibling and neighbour statistics, and how much markup of each
-sort the text has. Boosted trees turn them into the log-odds that the node is
+nest by their spans. Each has features: its kind, the density of text, signs,
+links and nodes in its whole subtree, attribute tokens, depth, sibling and
+neighbour statistics, and how much markup of each sort the text has. Boosted trees turn them into the log-odds that the node is
 real. Decoding picks the set of nodes of most total log-odds in which no
 ancestor contradicts a descendant: nothing stands within code, and a list
-within a list belongs to it.
+within a list belongs to it. Cleaning takes away what was chosen and frames
+(paragraph tags, comments, preambles); what only looks like markup stays.
 
 The trees are fitted on texts that a seeded generator writes: plain sentences
 of the corpus (a bounded sample, ``CARRIERS``), markup of all sorts put around
@@ -23,6 +24,7 @@ to the text's end; a lone sign without its partner is text.
 from __future__ import annotations
 
 import dataclasses
+import functools
 import html
 import random
 import re
@@ -38,7 +40,7 @@ from leafmill.llm import trees
 from leafmill.llm.sampling import bounded_sample
 
 #: Plain texts from which the generator takes its sentences, and texts it writes.
-CARRIERS, WRITTEN, SEED = 400, 900, 7
+CARRIERS, WRITTEN, SEED = 400, 2500, 7
 ELEMENTS = ("heading", "list", "code", "formula", "table", "inline")
 
 # Names of tags and environments by what they make.
@@ -72,6 +74,9 @@ ELEMENT_OF = [
 ]
 
 _ESCAPED = re.compile(r"&lt;/?(?:p|div|h[1-6]|ul|ol|li|table|tr|td|pre|code|math|strong|em|span|font|br|a|b|i)\b", re.I)
+#: Attributes of a tag: none, or some with a value; words alone are text between angle brackets.
+_ATTRIBUTES = re.compile(r"\s*(?:(?:nowrap|compact|checked|disabled|hidden|noshade|reversed|selected)?|.*=.*)\s*/?\s*", re.S | re.I)
+_ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
 _ANY = re.compile(r"[<&\\$`~*_|#{\[]|^[ \t]*(?:[-+•][ \t]|\d+[.)][ \t]|={1,6})|^[-]{2,}|''", re.M)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s[^<>]*)?)>|<!--.*?-->|<![A-Za-z][^<>]*>|&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,9});", re.S)
 _ENV = re.compile(r"\\(begin|end)\{([a-zA-Z]+)\*?\}")
@@ -85,23 +90,27 @@ _LINES = re.compile(
     r"|^(?P<open>[ \t]*\{\|[^\n]*)$|^(?P<pipe>[ \t]*\|[^\n]*)$",
     re.M,
 )
+_BRACE = re.compile(r"[{}]")
 _MARKED = re.compile(r"[ \t]*(?:[-+*#|>=]|\d+[.)])[ \t]")
+# Spans end at the first mark that can close them, however far; none runs over another opening mark of its own kind.
 _SPANS = re.compile(
-    r"(?=[$\\!\[{'*_~`])(?:(?P<dollars>\$\$(?=[^$]).{1,2000}?\$\$)"
-    r"|(?P<dollar>(?<![\\$])\$(?=[^\s$])[^$\n]{1,300}?(?<=[^\s\\])\$(?![$\d]))"
-    r"|(?P<tex_paren>\\\(.{1,500}?\\\))|(?P<tex_bracket>\\\[.{1,2000}?\\\])"
+    r"(?=[$\\!\[{'*_~`])(?:(?P<dollars>\$\$(?=[^$])(?:(?!\$\$).)+\$\$)"
+    r"|(?P<dollar>(?<![\\$])\$(?=[^\s$])[^$\n]+(?<=[^\s\\])\$(?![$\d]))"
+    r"|(?P<tex_paren>\\\((?:(?!\\\().)+?\\\))|(?P<tex_bracket>\\\[(?:(?!\\\[).)+?\\\])"
     r"|(?P<image>!\[[^\]\n]*\]\([^)\n]*\))|(?P<wiki_link>\[\[[^\[\]\n]+\]\])|(?P<footmark>\[\^[^\]\n]+\])|(?P<link>\[[^\[\]\n]+\]\([^()\s]+\))"
     r"|(?P<template>\{\{[^{}]+\}\})"
     r"|(?P<quotes>'{2,5}(?=[^'\s])[^'\n]+(?:'[^'\n]+)*?'{2,5})"
-    r"|(?P<stars>\*\*(?=[^\s*])[^*\n]{1,300}?(?<=[^\s*])\*\*)|(?P<star>(?<!\*)\*(?=[^\s*])[^*\n]{1,300}?(?<=[^\s*])\*(?!\*))"
-    r"|(?P<lows>__(?=[^\s_])[^_\n]{1,300}?(?<=[^\s_])__)|(?P<low>(?<![_\w])_(?=[^\s_])[^_\n]{1,300}?(?<=[^\s_])_(?![_\w]))"
-    r"|(?P<strike>~~(?=[^\s~])[^~\n]{1,300}?(?<=[^\s~])~~)|(?P<backtick>(?<!`)`(?=[^`\s])[^`\n]{1,200}`(?!`)))",
+    r"|(?P<stars>\*\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*\*)|(?P<star>(?<!\*)\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*(?!\*))"
+    r"|(?P<lows>__(?=[^\s_])[^_\n]+(?<=[^\s_])__)|(?P<low>(?<![_\w])_(?=[^\s_])[^_\n]+(?<=[^\s_])_(?![_\w]))"
+    r"|(?P<strike>~~(?=[^\s~])[^~\n]+(?<=[^\s~])~~)|(?P<backtick>(?<!`)`(?=[^`\s])[^`\n]+`(?!`)))",
     re.S,
 )
-_ENDS = re.compile(r"[.!?。！？;；:：,，]\s*$")
-_SIGNS = re.compile(r"[^\w\s]")
-_DIGITS = re.compile(r"\d")
-WIDTH = len(KINDS) + 22
+_ENDING = ".!?。！？;；:：,，"
+_ENDS = re.compile(rf"[{_ENDING}]\s*$")
+# Tokens of attributes that tell layout from content.
+ATTRIBUTE_TOKENS = ("class", "style", "id", "href", "align", "data", "name", "size")
+LINKS = {"link", "image", "wiki_link", "footmark"}
+WIDTH = len(KINDS) + 32
 
 
 @dataclasses.dataclass(slots=True)
@@ -119,7 +128,12 @@ class Node:
 
 def unescaped(text: str) -> str:
     """Escaped markup counts like markup: one level is undone where whole tags are escaped."""
-    return html.unescape(text.replace("&amp;", "&")) if _ESCAPED.search(text) else text
+    return _signs_of(text.replace("&amp;", "&")) if _ESCAPED.search(text) else text
+
+
+def _signs_of(text: str) -> str:
+    """The text with its closed entities as signs; an ampersand of an address stays."""
+    return _ENTITY.sub(lambda m: html.unescape(m.group()), text)
 
 
 def _tags(text: str, nodes: list[Node]) -> list[tuple[int, int]]:
@@ -137,6 +151,8 @@ def _tags(text: str, nodes: list[Node]) -> list[tuple[int, int]]:
                 hidden.append(m.span())
             continue
         low, closing = name.lower(), bool(m.group(1))
+        if not _ATTRIBUTES.fullmatch(m.group(3)):
+            continue
         if raw and not (closing and low == raw):
             continue
         if low in ("style", "script", "title"):
@@ -187,13 +203,19 @@ def _tex(text: str, nodes: list[Node]) -> None:
             del stack[at:]
             if name in what:
                 nodes.append(Node(start, m.end(), KIND["env_" + what[name]], (inner, m.start())))
+    closing: dict[int, int] = {}
+    braces: list[int] = []
+    for m in _BRACE.finditer(text):
+        if m.group() == "{":
+            braces.append(m.start())
+        elif braces:
+            closing[braces.pop()] = m.start()
     for m in _COMMAND.finditer(text):
-        depth, k = 1, m.end()
-        stop = min(len(text), k + 600)
-        while k < stop and depth:
-            depth += {"{": 1, "}": -1}.get(text[k], 0)
-            k += 1
-        nodes.append(Node(m.start(), k, KIND["tex_heading" if m.group(1) in HEADING_COMMANDS else "tex_inline"], (m.end(), k - 1), m.group(1), closed=not depth))
+        end = closing.get(m.end() - 1)
+        if (closed := end is not None) is False:  # up to the paragraph's end
+            end = text.find("\n\n", m.end())
+            end = len(text) if end < 0 else end
+        nodes.append(Node(m.start(), end + closed, KIND["tex_heading" if m.group(1) in HEADING_COMMANDS else "tex_inline"], (m.end(), end), m.group(1), closed=closed))
 
 
 def _block_lines(text: str, nodes: list[Node]) -> None:
@@ -293,62 +315,107 @@ def nodes_of(text: str) -> list[Node]:
 _SORT = np.array([0] * 7 + [1, 1, 2, 3, 1, 2, 3, 1, 3] + [1, 1, 3, 3, 3, 1, 2, 3] + [1, 1, 1, 1, 2, 1, 1, 2, 2, 3, 1, 1, 1, 1])
 
 
+SIGN, DIGIT, BLANK, ALNUM = 1, 2, 4, 8
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """What a code point is, a bit each; those above the first plane count as letters."""
+    out = np.full(0x10001, ALNUM, np.uint8)
+    for k in range(0x10000):
+        ch = chr(k)
+        out[k] = BLANK if ch.isspace() else (ALNUM | DIGIT * ch.isdecimal()) if ch.isalnum() or ch == "_" else SIGN
+    return out
+
+
 def features(text: str, nodes: list[Node]) -> np.ndarray:
-    """One row of features for each node."""
+    """One row of features for each node, over its whole span; sums over spans are differences of running sums."""
     out = np.zeros((len(nodes), WIDTH), np.float32)
     kinds = np.array([n.kind for n in nodes])
     out[np.arange(len(nodes)), kinds] = 1
     sorts = np.log1p(np.bincount(_SORT[kinds], minlength=4))
-    size = np.log1p(len(text))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    what = _classes()[np.minimum(points, 0x10000)]
+    seen = (what & BLANK) == 0
+    total = {bit: np.concatenate(([0], np.cumsum((what & bit) > 0))) for bit in (SIGN, DIGIT, ALNUM)}
+    begins = seen & np.concatenate(([True], ~seen[:-1]))
+    words = np.concatenate(([0], np.cumsum(begins)))
+    at = np.arange(len(points))
+    last = np.concatenate(([-1], np.maximum.accumulate(np.where(seen, at, -1))))  # last visible sign before a place
+    following = np.concatenate((np.minimum.accumulate(np.where(seen, at, len(points))[::-1])[::-1], [len(points)]))
+    ends = np.flatnonzero(points == 10)
+    lines_before = np.searchsorted(ends, [n.start for n in nodes])
+    lines_after = np.searchsorted(ends, [n.end for n in nodes])
+    # From the leaves up: nodes below, and length of links; from the root down: depth and what stands above.
+    below, links = [0] * len(nodes), [0] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):
+        n = nodes[i]
+        if KINDS[n.kind] in LINKS or n.kind == KIND["tag_inline"] and n.attrs.startswith("a "):
+            links[i] = n.end - n.start
+        if n.parent >= 0:
+            below[n.parent] += 1 + below[i]
+            links[n.parent] += links[i]
+    above: list[tuple[int, int, int, int]] = []
     last_end, last_kind = -99, -1
     for i, n in enumerate(nodes):
-        inner = text[n.inner[0] : min(n.inner[1], n.inner[0] + 400)]
-        words = inner.split()
-        depth, up, in_code, in_list, in_table = 0, n.parent, 0, 0, 0
-        while up >= 0:
-            e = ELEMENT_OF[nodes[up].kind]
-            in_code |= e == "code"
-            in_list |= e == "list"
-            in_table |= e == "table"
-            depth, up = depth + 1, nodes[up].parent
-        line_start = text.rfind("\n", 0, n.start) + 1
-        line_end = text.find("\n", n.end)
-        line_end = len(text) if line_end < 0 else line_end
-        length = max(1, n.end - n.start)
+        if n.parent < 0:
+            above.append((0, 0, 0, 0))
+        else:
+            depth, in_code, in_list, in_table = above[n.parent]
+            e = ELEMENT_OF[nodes[n.parent].kind]
+            above.append((depth + 1, in_code | (e == "code"), in_list | (e == "list"), in_table | (e == "table")))
+        a, b = n.inner
+        b = max(a, b)
+        size = max(1, b - a)
+        n_words = words[b] - words[a] + (0 < a < b and seen[a] and not begins[a])
+        closes = last[b] >= a and text[last[b]] in _ENDING
+        line_start = ends[lines_before[i] - 1] if lines_before[i] else -1
+        line_end = ends[lines_after[i]] if lines_after[i] < len(ends) else len(text)
+        low = n.attrs.lower()
         out[i, len(KINDS) :] = (
-            np.log1p(length), len(words), bool(_ENDS.search(inner)), len(_SIGNS.findall(inner)) / max(1, len(inner)), len(_DIGITS.findall(inner)) / max(1, len(inner)),
-            n.run, n.closed, depth, in_code, in_list, in_table, len(n.children),
-            not text[line_start : n.start].strip(), not text[n.end : line_end].strip(),
-            "class" in n.attrs or "style" in n.attrs, len(n.attrs), n.start - last_end < 3 and last_kind == n.kind,
-            *sorts, size,
+            np.log1p(max(1, n.end - n.start)), n_words, closes, (total[SIGN][b] - total[SIGN][a]) / size, (total[DIGIT][b] - total[DIGIT][a]) / size, (total[ALNUM][b] - total[ALNUM][a]) / size,
+            n.run, n.closed, *above[i], len(n.children), np.log1p(below[i]), min(1.0, links[i] / size),
+            last[n.start] <= line_start, following[n.end] >= line_end, len(n.attrs), n.start - last_end < 3 and last_kind == n.kind,
+            *(t in low for t in ATTRIBUTE_TOKENS), *sorts, np.log1p(len(text)),
         )
         last_end, last_kind = n.end, n.kind
     return out
 
 
+_BLOCKED = {"heading": 1, "list": 2, "table": 4}
+
+
 def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
-    """The consistent choice of most total log-odds: best with or without each node, from the leaves up."""
-    keep = [0.0] * len(nodes)
-    take = [0.0] * len(nodes)
-    blocked = [_inside(ELEMENT_OF[n.kind]) for n in nodes]
+    """The consistent choice of most total log-odds.
+
+    A state is the set of elements that the chosen ancestors block. From the
+    leaves up each node has its best total for every state, taken or not; from
+    the roots down the choices follow the states.
+    """
+    own = [_BLOCKED.get(ELEMENT_OF[n.kind], 0) for n in nodes]
+    shuts = [_inside(ELEMENT_OF[n.kind]) for n in nodes]
+    adds = [None if "*" in s else sum(_BLOCKED[e] for e in s) for s in shuts]
+    skipped = [[0.0] * 8 for _ in nodes]  # the children's best, by state
+    best = [[0.0] * 8 for _ in nodes]
+    taken = [[False] * 8 for _ in nodes]
     for i in range(len(nodes) - 1, -1, -1):
-        n = nodes[i]
-        below = {c: max(keep[c], take[c]) for c in n.children}
-        keep[i] = sum(below.values())
-        allowed = 0.0
-        for c in n.children:
-            allowed += keep[c] if ELEMENT_OF[nodes[c].kind] in blocked[i] else below[c]
-        take[i] = float(odds[i]) + (0.0 if "*" in blocked[i] else allowed)
+        rest, value = skipped[i], float(odds[i])
+        for state in range(8):
+            with_it = value + (0.0 if adds[i] is None else rest[state | adds[i]])
+            taken[i][state] = not own[i] & state and with_it > rest[state]
+            best[i][state] = with_it if taken[i][state] else rest[state]
+        if nodes[i].parent >= 0:
+            up = skipped[nodes[i].parent]
+            for state in range(8):
+                up[state] += best[i][state]
     chosen = [False] * len(nodes)
+    states: list[int | None] = []
     for i, n in enumerate(nodes):
-        up, shut = n.parent, False
-        e = ELEMENT_OF[n.kind]
-        while up >= 0:
-            if chosen[up] and ("*" in blocked[up] or e in blocked[up]):
-                shut = True
-                break
-            up = nodes[up].parent
-        chosen[i] = not shut and take[i] > keep[i]
+        state = 0 if n.parent < 0 else states[n.parent]
+        if state is not None and taken[i][state]:
+            chosen[i] = True
+            state = None if adds[i] is None else state | adds[i]
+        states.append(state)
     return chosen
 
 
@@ -564,26 +631,40 @@ def elements(real: list[Node]) -> dict[str, int]:
     return out
 
 
-_STRIP = re.compile(r"<!--.*?-->|<(style|script|title)\b.*?</\1>|</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?>|<![A-Za-z][^<>]*>", re.S | re.I)
+_FRAMES = FRAME_TAGS | PART_TAGS | LIST_TAGS | TABLE_TAGS | HEADING_TAGS | CODE_TAGS | FORMULA_TAGS
+_STRIP = re.compile(r"<!--.*?-->|<(style|script|title)\b.*?</\1>|</?([a-zA-Z][a-zA-Z0-9]*)((?:\s[^<>]*)?)>|<![A-Za-z][^<>]*>", re.S | re.I)
 _ROWS = re.compile(r"</tr>|<tr\b[^>]*>", re.I)
 _CELLS = re.compile(r"<t[dh]\b[^>]*>", re.I)
 _FRAME = re.compile(r"\\(?:documentclass|usepackage)(?:\[[^\]]*\])?\{[^}]*\}|\\(?:begin|end)\{document\}|\\label\{[^}]*\}|\\maketitle")
 
 
-def _flat(text: str) -> str:
-    """A piece without tags, entities and TeX commands."""
-    text = re.sub(r"<br\s*/?>", "\n", text, flags=re.I)
-    text = re.sub(r"</(p|div)>|<(p|div)\b[^>]*>", "\n", text, flags=re.I)
-    text = html.unescape(_STRIP.sub("", text)).replace("\xa0", " ")
-    return _FRAME.sub("", text).replace("\\%", "%").replace("\\&", "&")
+def _flat(text: str, closed: frozenset[str] = frozenset(), tex: bool = False) -> str:
+    """A piece without frames' and blocks' tags, the closing tags named ``closed``, comments and TeX frames; TeX's escaped signs as signs if ``tex``."""
+
+    def tag(m: re.Match) -> str:
+        name = (m.group(2) or "").lower()
+        if not name:
+            return ""
+        if name in ("p", "div") and _ATTRIBUTES.fullmatch(m.group(3)):
+            return "\n"
+        gone = name in _FRAMES and _ATTRIBUTES.fullmatch(m.group(3)) or m.group().startswith("</") and name in closed
+        return "" if gone else m.group()
+
+    if "<" in text:
+        text = _STRIP.sub(tag, text)
+    if "\\" in text:
+        text = _FRAME.sub("", text)
+        if tex:
+            text = text.replace("\\%", "%").replace("\\&", "&")
+    return text
 
 
-def _cells(text: str, kind: str) -> str:
+def _cells(text: str, kind: str, flat) -> str:
     if kind == "tag_table":
-        rows = [[_flat(c).strip() for c in _CELLS.split(r)[1:]] for r in _ROWS.split(text)]
+        rows = [[flat(c).strip() for c in _CELLS.split(r)[1:]] for r in _ROWS.split(text)]
     elif kind == "env_table":
         body = re.sub(r"^\{[^}]*\}", "", text.strip())
-        rows = [[c.strip() for c in r.split("&")] for r in body.split("\\\\") if r.strip()]
+        rows = [[flat(c).strip() for c in re.split(r"(?<!\\)&", r)] for r in body.split("\\\\") if r.strip()]
     elif kind == "wiki_table":
         rows = [[c.strip() for c in re.split(r"\|\||!!", line.lstrip("|! "))] for line in text.split("\n") if line.strip() and not line.startswith(("|-", "{|", "|}"))]
     else:
@@ -591,49 +672,45 @@ def _cells(text: str, kind: str) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in rows if r)
 
 
-def _list(text: str, kind: str) -> str:
+def _list(text: str, kind: str, flat) -> str:
     if kind == "tag_list":
         text = re.sub(r"<li\b[^>]*>", "\n- ", text, flags=re.I)
     elif kind == "env_list":
         text = re.sub(r"\\(begin|end)\{\w+\}", "", text).replace("\\item", "\n-")
-    lines = [re.sub(r"^[ \t]*(?:[-+•*#:;]+|\d+[.)]|[a-z][.)])[ \t]*(?:\[[ xX]\][ \t]*)?", "- ", x) for x in _flat(text).split("\n") if x.strip()]
+    lines = [re.sub(r"^[ \t]*(?:[-+•*#:;]+|\d+[.)]|[a-z][.)])[ \t]*(?:\[[ xX]\][ \t]*)?", "- ", x) for x in flat(text).split("\n") if x.strip()]
     return "\n".join(x if x.startswith("- ") else "- " + x.strip() for x in lines)
 
 
 def clean(text: str, real: list[Node]) -> str:
-    """The text with headings as '#', lists as '-', code fenced, formulas in '$', tables in '|', and all other markup taken away."""
-
-    def render(start: int, end: int, own: list[Node]) -> str:
-        out, at = [], start
-        for n in own:
-            if n.start < at:
-                continue
-            out.append(_flat(text[at : n.start]))
-            at = n.end
-            kind, e = KINDS[n.kind], ELEMENT_OF[n.kind]
-            body = text[n.inner[0] : n.inner[1]]
-            if e == "heading":
-                level = int(n.attrs.count("#") or n.attrs.count("=") or 1) if kind in ("atx", "wiki_heading") else 1
-                out.append("\n" + "#" * min(level, 6) + " " + " ".join(_flat(body).strip(" #\n").split()) + "\n")
-            elif e == "list":
-                inner = [c for c in own if n.start <= c.start and c.end <= n.end and c is not n]
-                out.append("\n" + _list(_inlined(body, n.inner[0], inner), kind) + "\n")
-            elif e == "code":
-                code = html.unescape(_STRIP.sub("", body)) if kind == "tag_code" else body
-                out.append("\n```\n" + code.strip("\n") + "\n```\n")
-            elif e == "formula":
-                out.append("$" + re.sub(r"^(\\[\[(]|\$+)|(\\[\])]|\$+)$", "", body.strip()).strip() + "$")
-            elif e == "table":
-                out.append("\n" + _cells(body, kind) + "\n")
-            else:
-                out.append(_inline(n))
-        out.append(_flat(text[at:end]))
-        return "".join(out)
+    """The text with headings as '#', lists as '-', code fenced, formulas in '$', tables in '|', and all other chosen markup and frames taken away."""
+    closed = frozenset(n.attrs.split()[0].lower() for n in real if KINDS[n.kind] == "tag_inline" and n.attrs.split())
+    tex = any(KINDS[n.kind].startswith(("tex_", "env_")) for n in real) or bool(_FRAME.search(text))
+    flat = functools.partial(_flat, closed=closed, tex=tex)
+
+    def written(n: Node, inner: list[Node]) -> str:
+        """A node as it stands in clean text; ``inner`` are the nodes within it."""
+        kind, e = KINDS[n.kind], ELEMENT_OF[n.kind]
+        body = text[n.inner[0] : n.inner[1]]
+        if e == "heading":
+            level = int(n.attrs.count("#") or n.attrs.count("=") or 1) if kind in ("atx", "wiki_heading") else 1
+            return "\n" + "#" * min(level, 6) + " " + " ".join(flat(filled(n, inner)).strip(" #\n").split()) + "\n"
+        if e == "list":
+            return "\n" + _list(filled(n, inner), kind, flat) + "\n"
+        if e == "code":
+            code = _signs_of(re.sub(r"^\s*<code\b[^<>]*>|</code>\s*$", "", body)) if kind == "tag_code" else body
+            return "\n```\n" + code.strip("\n") + "\n```\n"
+        if e == "formula":
+            return "$" + re.sub(r"^(\\[\[(]|\$+)|(\\[\])]|\$+)$", "", body.strip()).strip() + "$"
+        if e == "table":
+            return "\n" + _cells(filled(n, inner), kind, flat) + "\n"
+        return _inline(n)
 
     def _inline(n: Node) -> str:
         kind, piece = KINDS[n.kind], text[n.start : n.end]
-        if kind in ("tag_inline", "entity"):
-            return _flat(piece)
+        if kind == "tag_inline":
+            return "\n" if n.attrs[:2].lower() == "br" else ""
+        if kind == "entity":
+            return html.unescape(piece).replace("\xa0", " ")
         if kind == "tex_inline":
             return text[n.inner[0] : n.inner[1]] if n.attrs in ("textbf", "textit", "emph", "underline", "texttt", "textsc") else ""
         if kind in ("link", "image"):
@@ -644,18 +721,30 @@ def clean(text: str, real: list[Node]) -> str:
             return ""
         return piece.strip("*_'~`")
 
-    def _inlined(body: str, offset: int, inner: list[Node]) -> str:
-        out, at = [], offset
-        for n in inner:
-            if n.start < at or ELEMENT_OF[n.kind] != "inline":
+    def filled(n: Node, inner: list[Node]) -> str:
+        """The inside of a block with the nodes in it written; those of its lists and headings keep their lines."""
+        out, at = [], n.inner[0]
+        for c in inner:
+            if c.start < at or c.end > n.inner[1] or ELEMENT_OF[c.kind] not in ("inline", "formula"):
                 continue
-            out.append(text[at : n.start])
-            out.append(_inline(n))
-            at = n.end
-        out.append(text[at : offset + len(body)])
+            out.append(text[at : c.start])
+            out.append(written(c, []))
+            at = c.end
+        out.append(text[at : n.inner[1]])
         return "".join(out)
 
-    return re.sub(r"\n{3,}", "\n\n", render(0, len(text), real)).strip() if real or "<" in text or "&" in text or "\\" in text else text
+    out, at = [], 0
+    for k, n in enumerate(real):
+        if n.start < at:
+            continue
+        out.append(flat(text[at : n.start]))
+        at = n.end
+        j = k + 1
+        while j < len(real) and real[j].start < n.end:
+            j += 1
+        out.append(written(n, real[k + 1 : j]))
+    out.append(flat(text[at:]))
+    return re.sub(r"\n{3,}", "\n\n", "".join(out)).strip() if real or "<" in text or "\\" in text else text
 
 
 #: Texts parsed together, which bounds a worker's memory.

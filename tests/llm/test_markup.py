@@ -57,3 +57,66 @@ def test_frames(spark, model):
 def test_fitting_on_a_corpus_without_plain_texts(spark):
     df = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert M.elements(M.fit_on(df).read([MD])[0][1]) == ALL
+
+
+def _chain(kinds):
+    nodes = [M.Node(k, 100 - k, M.KIND[kind], (k, 100 - k), parent=k - 1, children=[k + 1] if k + 1 < len(kinds) else []) for k, kind in enumerate(kinds)]
+    return nodes
+
+
+def test_decoding_is_the_optimum():
+    nodes = _chain(["tag_list", "tag_table", "tag_list"])
+    assert M.decode(nodes, np.array([1.0, -5.0, 3.0])) == [False, False, True]
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        kinds = [M.KINDS[k] for k in rng.integers(0, len(M.KINDS), 7)]
+        nodes = [M.Node(0, 0, M.KIND[k], (0, 0), parent=int(rng.integers(-1, i)) if i else -1) for i, k in enumerate(kinds)]
+        for i, n in enumerate(nodes):
+            if n.parent >= 0:
+                nodes[n.parent].children.append(i)
+        odds = rng.normal(0, 2, 7)
+
+        def consistent(mask):
+            for i, n in enumerate(nodes):
+                up = n.parent
+                while mask >> i & 1 and up >= 0:
+                    inside = M._inside(M.ELEMENT_OF[nodes[up].kind])
+                    if mask >> up & 1 and ("*" in inside or M.ELEMENT_OF[n.kind] in inside):
+                        return False
+                    up = nodes[up].parent
+            return True
+
+        best = max(sum(odds[i] for i in range(7) if m >> i & 1) for m in range(128) if consistent(m))
+        got = M.decode(nodes, odds)
+        mask = sum(1 << i for i, c in enumerate(got) if c)
+        assert consistent(mask) and abs(sum(o for o, c in zip(odds, got) if c) - best) < 1e-9
+
+
+def test_only_chosen_markup_is_taken_away(model):
+    text = "See a <b and c> d; https://x.org/?a=1&copy=2 and 5 <x and y> 3"
+    assert M.clean(*model.read([text])[0]) == text
+    assert M.clean("<p>one</p><x-y>&lt; two", []) == "one\n<x-y>&lt; two"
+    assert M.unescaped("&lt;p&gt;a&lt;/p&gt; ?a=1&copy=2") == "<p>a</p> ?a=1&copy=2"
+
+
+@pytest.mark.parametrize("long", ["$" + "x + " * 900 + "y$", "$$" + "x + " * 900 + "y$$", "\\(" + "x + " * 900 + "y\\)", "\\[" + "x + " * 900 + "y\\]"])
+def test_formulas_of_any_length(model, long):
+    assert [M.ELEMENT_OF[n.kind] for n in M.nodes_of("Here is it: " + long + " and on.") if n.start == 12] == ["formula"]
+
+
+def test_arguments_and_emphasis_of_any_length():
+    nodes = M.nodes_of("\\footnote{" + "long {nested} words " * 100 + "} then **" + "many words " * 60 + "x** and \\emph{never closed")
+    assert [(M.KINDS[n.kind], n.closed) for n in nodes] == [("tex_inline", True), ("stars", True), ("tex_inline", False)]
+
+
+def test_features_see_the_whole_node():
+    text = "<ul><li>" + "word " * 300 + "1 2 3</li></ul>"
+    node = M.nodes_of(text)[0]
+    inner = text[node.inner[0] : node.inner[1]]
+    row = M.features(text, [node])[0, len(M.KINDS) :]
+    assert row[1] == len(inner.split()) and abs(row[4] - 3 / len(inner)) < 1e-6
+
+
+def test_reading_is_linear_in_unclosed_marks():
+    for unit in ("\\(a ", "\\emph{", "**a ", "$$ a ", "[[", "<b ", "&a"):
+        M.nodes_of(unit * 20_000)
