@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 # Character classes and the names of masks.
 RESIDUAL_CJK = "[぀-ヿ㐀-䶿一-鿿가-힣豈-﫿]"
-BOXES = "☐☑☒"
+# Signs of boxes, circles and ticks.
+BOXES = "☐-☒○●◯✓✔✗✘"
 MASKS = {"☑": "[[CBX_ON]]", "☐": "[[CBX_OFF]]"}
 
 
@@ -46,7 +47,21 @@ def unmasked(text: Column) -> Column:
 
 def boxes(text: Column) -> Column:
     """How many boxes a text has, glyphs and form fields."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[{BOXES}]|(?i)<input"))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(rf"(?i)[{BOXES}]|<input\b"))
+
+
+# Pairs of options that stand beside boxes on forms; what parts two words.
+_GAP = r"[^\p{L}\p{N}_]"
+OPTION_PAIRS = tuple(
+    f"{first}(?:{_GAP}|{_GAP}.*{_GAP}){second}"
+    for first, second in (("[:：]\\s*是", "否"), ("[:：]\\s*有", "无"), ("正常", "(?:异常|非正常)"), ("合格", "不合格"), ("[:：]\\s*(?i:yes|pass|normal)", f"(?i:no|fail|abnormal)(?:{_GAP}|$)"))
+)
+
+
+def box_hint(text: Column) -> Column:
+    """True for a text that names a pair of options and shows no box."""
+    text = F.coalesce(text, F.lit(""))
+    return (boxes(text) == 0) & text.rlike("|".join(OPTION_PAIRS))
 
 
 def signature(text: Column) -> Column:
@@ -55,8 +70,27 @@ def signature(text: Column) -> Column:
 
 
 def parts(text: Column) -> Column:
-    """A text cut into tags and what stands between them; joined they give the text again."""
-    return F.regexp_extract_all(text, F.lit(r"<[^>]+>|[^<]+|<"), F.lit(0))
+    """A text cut into tags and what stands between them, a lone angle bracket included; joined they give the text again."""
+    return F.regexp_extract_all(text, F.lit(r"<[^>]+>|(?:[^<]|<(?![^>]+>))+"), F.lit(0))
+
+
+def formula_words(text: Column) -> Column:
+    r"""A formula cut into its \\text{} groups and what stands between them; joined they give the formula again."""
+    return F.regexp_extract_all(text, F.lit(r"\\text\{[^{}]*\}|(?s:(?:(?!\\text\{[^{}]*\}).)+)"), F.lit(0))
+
+
+def without_boxes_of_tags(html: Column) -> Column:
+    """Table markup without the boxes that a model gave its tags, inline math in dollars."""
+    bare = F.regexp_replace(html, r"(?i)(<[a-z][^<>]*?)\s+data-bbox\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s<>]+)", "$1")
+    return F.regexp_replace(bare, r"(?is)<math\b[^>]*>\s*(.*?)\s*</math>", r"\$$1\$")
+
+
+def bare_formula(html: Column) -> Column:
+    """The LaTeX of a formula block: what stands in its math tags, or all of it without tags; no dollar signs."""
+    inner = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<math\b[^>]*>(.*?)</math>"), F.lit(1)), lambda x: F.trim(x))
+    joined = F.array_join(F.filter(inner, lambda x: x != ""), " ")
+    plain = F.when(F.size(inner) > 0, joined).otherwise(F.regexp_replace(html, r"<[^<>]*>", " "))
+    return F.trim(F.regexp_replace(F.replace(plain, F.lit("$"), F.lit("")), r"\s+", " "))
 
 
 def utf8_size(text: Column) -> Column:
@@ -158,9 +192,14 @@ def repeated_tail(text: Column | str) -> Column:
 
 # Commands of inline formulas and their signs.
 LATEX_SIGNS = {
-    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "Delta": "Δ", "epsilon": "ε", "theta": "θ", "lambda": "λ", "mu": "µ", "pi": "π", "rho": "ρ", "sigma": "σ",
-    "Sigma": "Σ", "phi": "φ", "omega": "ω", "Omega": "Ω", "times": "×", "cdot": "·", "pm": "±", "le": "≤", "leq": "≤", "ge": "≥", "geq": "≥", "ne": "≠", "approx": "≈",
-    "infty": "∞", "sum": "∑", "circ": "°", "degree": "°", "rightarrow": "→", "to": "→", "leftarrow": "←", "percent": "%", ",": " ", ";": " ", " ": " ", "%": "%", "&": "&",
+    "pm": "±", "mp": "∓", "times": "×", "div": "÷", "cdot": "·", "ast": "*", "star": "⋆", "leq": "≤", "le": "≤", "geq": "≥", "ge": "≥", "neq": "≠", "ne": "≠",
+    "approx": "≈", "equiv": "≡", "sim": "∼", "propto": "∝", "ll": "≪", "gg": "≫", "rightarrow": "→", "to": "→", "leftarrow": "←", "Rightarrow": "⇒", "Leftarrow": "⇐",
+    "leftrightarrow": "↔", "Leftrightarrow": "⇔", "infty": "∞", "partial": "∂", "nabla": "∇", "degree": "°", "circ": "°", "prime": "′", "sum": "∑", "prod": "∏", "int": "∫",
+    "angle": "∠", "perp": "⊥", "parallel": "∥", "cdots": "⋯", "ldots": "…", "dots": "…", "vdots": "⋮", "percent": "%",
+    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "varepsilon": "ε", "zeta": "ζ", "eta": "η", "theta": "θ", "iota": "ι", "kappa": "κ", "lambda": "λ",
+    "mu": "μ", "nu": "ν", "xi": "ξ", "pi": "π", "rho": "ρ", "sigma": "σ", "tau": "τ", "upsilon": "υ", "phi": "φ", "varphi": "φ", "chi": "χ", "psi": "ψ", "omega": "ω",
+    "Gamma": "Γ", "Delta": "Δ", "Theta": "Θ", "Lambda": "Λ", "Xi": "Ξ", "Pi": "Π", "Sigma": "Σ", "Phi": "Φ", "Psi": "Ψ", "Omega": "Ω",
+    ",": " ", ";": " ", " ": " ", "%": "%", "&": "&", "#": "#", "_": "_", "{": "{", "}": "}", "$": "$",
 }
 _SUPER, _SUB = str.maketrans("0123456789+-=()n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ"), str.maketrans("0123456789+-=()", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎")
 _LATEX = re.compile(r"\\([A-Za-z]+|.)|[{}^_]|[^\\{}^_]+", re.S)

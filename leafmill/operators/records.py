@@ -23,6 +23,21 @@ def where_all(rows: DataFrame, **wanted: object) -> DataFrame:
     return rows.where(functools.reduce(operator.and_, tests)) if tests else rows
 
 
+def where_owned(rows: DataFrame, owner: str | None = None, status: str | None = None) -> DataFrame:
+    """Rows of an owner and status, where the status counts only together with an owner, as the listing of translations has it."""
+    return where_all(rows, owner_id=owner, status=status if owner is not None else None)
+
+
+def by_id_policy(rows: DataFrame, column: str, policy: str) -> DataFrame:
+    """Rows whose ids are UUIDs; others are refused (policy reject), dropped (drop), or kept with an ``error`` (mark)."""
+    good = F.coalesce(F.col(column).rlike(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit(False))
+    if policy == "drop":
+        return rows.where(good)
+    if policy == "reject":
+        return rows.where(F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("not an id: "), F.coalesce(F.col(column), F.lit("null")))).cast("boolean")))
+    return rows.withColumn("error", F.when(~good, F.concat(F.lit("not an id: "), F.coalesce(F.col(column), F.lit("null")))))
+
+
 def page(rows: DataFrame, by: str = "created_at", key: str = "id", newest: bool = True, limit: int = 50, offset: int = 0) -> DataFrame:
     """One page of a listing, newest or oldest first, ties by ``key``."""
     first = F.col(by).desc() if newest else F.col(by).asc()
@@ -52,18 +67,22 @@ def live_sessions(sessions: DataFrame, users: DataFrame, at: Column) -> DataFram
     )
 
 
-def patched(rows: DataFrame, changes: DataFrame, key: str, allowed: Iterable[str], at: Column | None = None, stamp: str = "updated_at") -> DataFrame:
+def patched(rows: DataFrame, changes: DataFrame, key: str, allowed: Iterable[str], at: Column | None = None, stamp: str = "updated_at", named: str | None = None) -> DataFrame:
     """Rows with the allowed columns of ``changes`` put in, where it has the key; columns that aren't allowed are ignored.
 
-    A null in ``changes`` keeps the value. A change without an allowed column
-    changes nothing; any other sets ``stamp`` to ``at``.
+    ``named`` is the column of ``changes`` that lists the columns a change
+    sets, to null as well; without it a null keeps the value. A change without
+    an allowed column changes nothing; any other sets ``stamp`` to ``at``.
     """
     names = [c for c in allowed if c in changes.columns and c in rows.columns and c != key]
     if not names:
         return rows
-    new = changes.select(key, *(F.col(c).alias(f"_{c}") for c in names), F.lit(True).alias("_hit"))
+    sets = F.array(*map(F.lit, names)) if named is None else F.coalesce(named, F.array().cast("array<string>"))
+    new = changes.select(key, *(F.col(c).alias(f"_{c}") for c in names), sets.alias("_sets"))
+    new = new.withColumn("_hit", F.arrays_overlap("_sets", F.array(*map(F.lit, names))))
     joined = rows.join(new, key, "left")
-    out = [F.coalesce(f"_{c}", c).alias(c) if c in names else F.when(F.col("_hit"), at).otherwise(F.col(c)).alias(c) if c == stamp and at is not None else F.col(c) for c in rows.columns]
+    put = lambda c: F.coalesce(f"_{c}", c) if named is None else F.when(F.array_contains("_sets", c), F.col(f"_{c}")).otherwise(F.col(c))
+    out = [put(c).alias(c) if c in names else F.when(F.col("_hit"), at).otherwise(F.col(c)).alias(c) if c == stamp and at is not None else F.col(c) for c in rows.columns]
     return joined.select(*out)
 
 

@@ -6,6 +6,7 @@ which the caller passes in; a guard decides whether its answer is taken.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,8 +17,8 @@ from leafmill.functions import geometry as G
 from leafmill.functions import text as X
 from leafmill.operators.layout import ENTRY, PAGE, dominant
 
-# Words that stand beside boxes on forms, in the languages of the data.
-BOX_HINTS = r"(?i)\b(yes|no|sim|não|sí|oui|non|ja|nein|да|нет|n/a)\b|是|否"
+# Categories whose text may be a line of a form.
+FORM_CATEGORIES = ("Text", "List-Group", "Form", "Caption")
 TEXT_CATEGORIES = ("Text", "Section-Header", "List-Group", "Caption", "Footnote", "Page-Header", "Page-Footer", "Form", "Title", "Table-Of-Contents", "Complex-Block", "Bibliography")
 
 
@@ -44,8 +45,8 @@ def captions(rows: DataFrame, slack: float = 40.0) -> DataFrame:
 
 
 def box_candidates(rows: DataFrame) -> DataFrame:
-    """Entries that speak of boxes and show none."""
-    return rows.where((X.boxes(F.col("text")) == 0) & F.col("text").rlike(BOX_HINTS))
+    """Entries of forms that name a pair of options and show no box."""
+    return rows.where(F.col("category").isin(*FORM_CATEGORIES) & X.box_hint(F.col("text")))
 
 
 def taken_boxes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -75,22 +76,29 @@ def merged_rules(rules: DataFrame, group: list[str], at: str, nearer: float = 8.
     return rules.withColumn("run", run).groupBy(*group, "run").agg(F.min(at).alias("position"), F.count(F.lit(1)).alias("n_rules")).drop("run")
 
 
-def scan_types(pages: DataFrame, least: int = 32) -> DataFrame:
-    """native for documents of which any page or entry has ``least`` characters, else scanned."""
-    return pages.groupBy("doc_id").agg(F.when(F.bool_or(F.length(F.trim(F.coalesce("text", F.lit("")))) >= least), "native").otherwise("scanned").alias("scan_type"))
+def scan_types(entries: DataFrame, least: int = 32) -> DataFrame:
+    """native for documents of which any page has ``least`` characters, its entries one below the other, else scanned."""
+    stripped = F.trim(F.coalesce("text", F.lit("")))
+    pages = entries.groupBy(*PAGE).agg((F.sum(F.length(stripped)) + F.count_if(stripped != "") - 1).alias("n_chars"))
+    return pages.groupBy("doc_id").agg(F.when(F.bool_or(F.col("n_chars") >= least), "native").otherwise("scanned").alias("scan_type"))
 
 
-def read_pages(pages: DataFrame, reader: Callable[[dict], str], attempts: int = 3) -> DataFrame:
-    """``pages(doc_id, page_index, …)`` with the reader's ``text``, or ``error`` of the last attempt; a page that fails leaves the others alone."""
+def read_pages(pages: DataFrame, reader: Callable[..., str], attempts: int = 7, step: float = 0.2, hottest: float = 0.8) -> DataFrame:
+    """``pages(doc_id, page_index, …)`` with the reader's ``text``, or ``error`` of the last attempt; a page that fails leaves the others alone.
+
+    A reader of two arguments is given the temperature, which rises by ``step``
+    from attempt to attempt. A timeout is the reader's to raise.
+    """
+    heated = len(inspect.signature(reader).parameters) > 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, errors = [], []
             for row in pdf.to_dict("records"):
                 text = error = None
-                for _ in range(attempts):
+                for n in range(attempts):
                     try:
-                        text, error = reader(row), None
+                        text, error = reader(row, min(step * n, hottest)) if heated else reader(row), None
                         break
                     except Exception as e:  # noqa: BLE001 — becomes the row's error
                         error = str(e)[:200]

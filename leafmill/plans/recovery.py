@@ -123,7 +123,7 @@ def markdown_cells(spark, folder):
 _NAMES = "entry_sizes markdown_cells zone_styles caption_owners box_candidates boxes_taken turn_candidates pictures_lost page_rules scan_types diagram_lines block_texts list_texts outside_tables event_frames".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
-_HINT = r"(?i)\b(yes|no|sim|não|sí|oui|non|ja|nein|да|нет|n/a)\b|是|否"
+_HINT = "|".join(X.OPTION_PAIRS)
 _GAP = "greatest(b.y1 - a.y2, a.y1 - b.y2, 0)"
 SQL = {
     "entry_sizes": f"""WITH {_E}, w AS (SELECT *, trim(text) AS t, length(trim(text)) + len(regexp_extract_all(coalesce(text, ''), '[぀-ヿ㐀-䶿一-鿿가-힣豈-﫿]')) AS n FROM e WHERE x1 IS NOT NULL),
@@ -148,7 +148,12 @@ SQL = {
     "page_rules": f"""WITH {_E}, r AS (SELECT doc_id, page_index, y1, CASE WHEN y1 - lag(y1) OVER w < 40 THEN 0 ELSE 1 END AS start FROM e WHERE y1 IS NOT NULL WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY y1)),
         n AS (SELECT *, sum(start) OVER (PARTITION BY doc_id, page_index ORDER BY y1 RANGE UNBOUNDED PRECEDING) AS run FROM r)
         SELECT doc_id, page_index, min(y1) AS position, count(*) AS n_rules FROM n GROUP BY doc_id, page_index, run""",
-    "scan_types": f"WITH {_E} SELECT doc_id, CASE WHEN bool_or(length(trim(coalesce(text, ''))) >= 32) THEN 'native' ELSE 'scanned' END AS scan_type FROM e GROUP BY doc_id",
+    "scan_types": f"""WITH {_E}, p AS (SELECT doc_id, page_index, length(string_agg(trim(text), chr(10)) FILTER (trim(coalesce(text, '')) <> '')) AS n FROM e GROUP BY ALL)
+        SELECT doc_id, CASE WHEN bool_or(coalesce(n, 0) >= 32) THEN 'native' ELSE 'scanned' END AS scan_type FROM p GROUP BY doc_id""",
+    "box_candidates": f"""WITH {_E} SELECT doc_id, page_index, entry_idx FROM e WHERE category IN {recovery.FORM_CATEGORIES} AND regexp_matches(text, '{_HINT}') AND NOT regexp_matches(text, '[☐-☒○●◯✓✔✗✘]|(?i:<input\\b)')""",
+    "boxes_taken": f"""WITH {_E}, c AS (SELECT * FROM e WHERE category IN {recovery.FORM_CATEGORIES} AND regexp_matches(text, '{_HINT}') AND NOT regexp_matches(text, '[☐-☒○●◯✓✔✗✘]|(?i:<input\\b)'))
+        SELECT doc_id, page_index, entry_idx, CASE WHEN entry_idx % 2 = 0 THEN '☑ ' || text ELSE '☑ other' END AS new_text FROM c
+        WHERE entry_idx % 2 = 0 OR contains('other', regexp_replace(lower(text), '[^0-9a-z㐀-䶿一-鿿]', '', 'g'))""",
     "diagram_lines": f"""WITH {_PAGES}, l AS (SELECT doc_id, page_index, entry_idx, region_idx, CAST(i AS INTEGER) AS line_no, json_extract(ls, '$[' || i || ']') AS l
         FROM (SELECT *, json_extract(r, '$.lines') AS ls FROM regions WHERE json_type(r) = 'OBJECT'), LATERAL (SELECT unnest(range(CAST(json_array_length(ls) AS BIGINT))) AS i) WHERE json_type(ls) = 'ARRAY')
         SELECT doc_id, page_index, entry_idx, region_idx, line_no, l ->> '$.text' AS text, round(CAST(l ->> '$.conf' AS DOUBLE), 4) AS conf FROM l WHERE CAST(l ->> '$.conf' AS DOUBLE) >= 0.45 AND regexp_matches(l ->> '$.text', '\\p{{L}}')""",

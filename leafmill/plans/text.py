@@ -75,14 +75,25 @@ def unit_chunks(spark, folder):
     return translate.chunked(translate.units(_entries(spark, folder)).where("wanted"), 20, 1000).select(*translate.UNIT, "chunk")
 
 
+def _signed(texts):
+    return ["» " + t for t in texts]
+
+
 def entries_translated(spark, folder):
-    """Entries translated by a model that writes upper case, but for those with a sign whose upper case SQL writes differently; ``entries_translated_all`` has them all."""
-    return translate.translated(_entries(spark, folder).where("text is null or not text rlike '[ßŉǰΐΰևẖẗẘẙẚﬀ-ﬄ]'"))
+    """Every entry translated by a model that puts a sign before each unit."""
+    return translate.translated(_entries(spark, folder), _signed)
+
 
+def entries_translated_windowed(spark, folder):
+    """The same, window by window of two pages."""
+    return translate.translated(_entries(spark, folder), _signed, window=2)
 
-def entries_translated_all(spark, folder):
-    """Every entry translated by a model that writes upper case."""
-    return translate.translated(_entries(spark, folder))
+
+def window_totals(spark, folder):
+    """Units and failures of each document so far, by windows of two pages, when a model fails for long units."""
+    every = translate.units(_entries(spark, folder)).where("wanted")
+    model = lambda ts: [t.upper() for t in ts] if max(map(len, ts)) < 100 else []
+    return translate.running_totals(translate.called(translate.chunked(every, window=2), model), 2)
 
 
 def _half_done(texts):
@@ -97,9 +108,9 @@ def residual_units(spark, folder):
 
 
 def unit_outcomes(spark, folder):
-    """Units of each document and how many fell back when a model answers nothing for long chunks."""
+    """Units of each document and how many fell back when a model answers nothing for chunks with a long unit."""
     every = translate.units(_entries(spark, folder)).where("wanted")
-    model = lambda ts: [t.upper() for t in ts] if sum(map(len, ts)) < 2000 else []
+    model = lambda ts: [t.upper() for t in ts] if max(map(len, ts)) < 100 else []
     return translate.outcome(translate.called(translate.chunked(every), model))
 
 
@@ -114,32 +125,40 @@ def pages_resumed(spark, folder):
 
 
 _NAMES = """entry_scripts entry_masks entry_signatures entry_xml document_dollars artifact_names download_headers repeated_tails formula_texts translation_units unit_chunks entries_translated
-entries_translated_all residual_units unit_outcomes pages_resumed""".split()
+entries_translated_windowed window_totals residual_units unit_outcomes pages_resumed""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _E = r"""e AS (SELECT DISTINCT ON (doc_id, page_index, entry_idx) doc_id, page_index, entry_idx, category, text FROM page_entries)"""
 _CJK = "[぀-ヿ㐀-䶿一-鿿가-힣豈-﫿]"
-_U = rf"""{_E}, k AS (SELECT *, CASE WHEN regexp_matches(text, '<[A-Za-z/][^>]*>') THEN regexp_extract_all(text, '<[^>]+>|[^<]+|<') ELSE [text] END AS ps FROM e WHERE trim(coalesce(text, '')) <> ''),
-    x AS (SELECT doc_id, page_index, entry_idx, CAST(i AS INTEGER) AS part_idx, ps[i + 1] AS unit FROM k, LATERAL (SELECT unnest(range(len(ps))) AS i)),
-    u AS (SELECT *, NOT regexp_full_match(unit, '<[^>]+>') AND regexp_matches(unit, '\p{{L}}') AS wanted FROM x)"""
+_U = rf"""{_E}, c AS (SELECT doc_id, page_index, entry_idx, text, array_to_string(list_transform(regexp_split_to_array(trim(category), '[-_ ]+'), lambda w: upper(w[1]) || lower(w[2:])), '-') AS category FROM e WHERE trim(coalesce(text, '')) <> ''),
+    k AS (SELECT *, CASE WHEN category = 'Table' THEN list_filter(string_split(regexp_replace(text, '(<[^>]+>)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')
+        WHEN category IN ('Equation-Block', 'Formula') THEN list_filter(string_split(regexp_replace(text, '(\\text\{{[^{{}}]*\}})', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') ELSE [text] END AS ps FROM c),
+    x AS (SELECT doc_id, page_index, entry_idx, category, CAST(i AS INTEGER) AS part_idx, ps[i + 1] AS part FROM k, LATERAL (SELECT unnest(range(len(ps))) AS i)),
+    y AS (SELECT *, coalesce(category IN ('Equation-Block', 'Formula'), false) AS formula, coalesce(category IN ('Equation-Block', 'Formula'), false) AND regexp_full_match(part, '\\text\{{[^{{}}]*\}}') AS wrapped FROM x),
+    z AS (SELECT *, CASE WHEN wrapped THEN part[7:-2] ELSE part END AS unit FROM y),
+    u AS (SELECT *, coalesce(category, '') <> 'Picture' AND NOT (coalesce(category, '') = 'Table' AND part[1] = '<' AND part[-1] = '>') AND (NOT formula OR wrapped) AND regexp_matches(unit, '\p{{L}}') AS wanted FROM z)"""
+_SIGNED = f"""WITH {_U} SELECT doc_id, page_index, entry_idx, string_agg(CASE WHEN wrapped AND wanted THEN '\\text{{' || '» ' || unit || '}}' WHEN wanted THEN '» ' || unit ELSE part END, '' ORDER BY part_idx) AS text FROM u GROUP BY ALL"""
 SQL = {
     "entry_scripts": rf"""WITH {_E} SELECT doc_id, page_index, entry_idx, regexp_matches(text, '\p{{L}}') AS worth, regexp_matches(text, '{_CJK}') AS cjk,
         CASE WHEN regexp_matches(text, '[぀-ヿ]') THEN 'ja' WHEN regexp_matches(text, '[가-힣]') THEN 'ko' WHEN regexp_matches(text, '[㐀-䶿一-鿿]') THEN 'zh' END AS script,
-        len(regexp_extract_all(text, '[☐☑☒]|(?i:<input)')) AS n_boxes, length(text) + len(regexp_extract_all(text, '[ᄀ-ᅟ⺀-꓏가-힣豈-﫿︰-﹏＀-｠￠-￦]')) AS width, strlen(text) AS n_bytes FROM e WHERE text IS NOT NULL""",
+        len(regexp_extract_all(text, '[☐-☒○●◯✓✔✗✘]|(?i:<input\b)')) AS n_boxes, length(text) + len(regexp_extract_all(text, '[ᄀ-ᅟ⺀-꓏가-힣豈-﫿︰-﹏＀-｠￠-￦]')) AS width, strlen(text) AS n_bytes FROM e WHERE text IS NOT NULL""",
     "entry_masks": f"WITH {_E} SELECT doc_id, page_index, entry_idx, replace(replace(text, '☑', '[[CBX_ON]]'), '☐', '[[CBX_OFF]]') AS masked, text FROM e WHERE regexp_matches(text, '[☐☑]')",
     "entry_signatures": f"WITH {_E}, s AS (SELECT regexp_replace(lower(coalesce(text, '')), '[^0-9a-z㐀-䶿一-鿿]', '', 'g') AS signature FROM e) SELECT signature, count(*) AS n FROM s WHERE signature <> '' GROUP BY 1 HAVING count(*) > 1",
     "entry_xml": rf"""WITH {_E} SELECT doc_id, page_index, entry_idx, replace(replace(replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped,
         CASE WHEN text ILIKE '%<math display=%block%' THEN text ELSE regexp_replace(text, '(?is)<math[^>]*>(.*?)</math>', '$\1$', 'g') END AS math FROM e WHERE regexp_matches(text, '[<&>]')""",
     "document_dollars": r"""SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN len(regexp_extract_all(x, '\$')) % 2 = 1 THEN x || '$' ELSE x END), chr(10)) AS text FROM documents WHERE contains(text, '$')""",
     "artifact_names": r"""SELECT DISTINCT id, regexp_replace(original_name, '\.[^.]*$', '') || CASE WHEN regexp_replace(coalesce(target_lang, ''), '[^A-Za-z0-9_-]', '', 'g') <> '' THEN '_' || regexp_replace(target_lang, '[^A-Za-z0-9_-]', '', 'g') ELSE '' END || '.docx' AS name FROM translations""",
-    "translation_units": f"WITH {_U} SELECT doc_id, page_index, entry_idx, part_idx, unit, wanted FROM u",
+    "translation_units": f"WITH {_U} SELECT doc_id, page_index, entry_idx, part_idx, unit, wanted, wrapped FROM u",
     "unit_chunks": f"""WITH RECURSIVE {_U}, w AS (SELECT doc_id, page_index, entry_idx, part_idx, strlen(unit) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, entry_idx, part_idx) AS k FROM u WHERE wanted),
         f AS (SELECT doc_id, k, 0 AS chunk, 1 AS items, b AS bytes FROM w WHERE k = 1
             UNION ALL SELECT w.doc_id, w.k, CASE WHEN f.items >= 20 OR f.bytes + w.b > 1000 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.items >= 20 OR f.bytes + w.b > 1000 THEN 1 ELSE f.items + 1 END,
             CASE WHEN f.items >= 20 OR f.bytes + w.b > 1000 THEN w.b ELSE f.bytes + w.b END FROM f JOIN w ON w.doc_id = f.doc_id AND w.k = f.k + 1)
         SELECT doc_id, page_index, entry_idx, part_idx, chunk FROM f JOIN w USING (doc_id, k)""",
-    "entries_translated": f"""WITH {_U} SELECT doc_id, page_index, entry_idx, string_agg(CASE WHEN wanted THEN upper(unit) ELSE unit END, '' ORDER BY part_idx) AS text FROM u
-        SEMI JOIN (SELECT doc_id, page_index, entry_idx FROM e WHERE NOT regexp_matches(text, '[ßŉǰΐΰևẖẗẘẙẚﬀ-ﬄ]')) USING (doc_id, page_index, entry_idx) GROUP BY ALL""",
+    "entries_translated": _SIGNED,
+    "entries_translated_windowed": _SIGNED,
+    "unit_outcomes": f"WITH {_U} SELECT doc_id, count(*) AS n_units, count(*) FILTER (length(unit) >= 100) AS n_fell_back, bool_and(length(unit) >= 100) AS failed FROM u WHERE wanted GROUP BY doc_id",
+    "window_totals": f"""WITH {_U}, w AS (SELECT doc_id, CAST(page_index // 2 AS INTEGER) AS window_no, count(*) AS n, count(*) FILTER (length(unit) >= 100) AS f FROM u WHERE wanted GROUP BY ALL)
+        SELECT doc_id, window_no, CAST(sum(n) OVER o AS BIGINT) AS n_units, CAST(sum(f) OVER o AS BIGINT) AS n_fell_back FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY window_no)""",
     "residual_units": f"WITH {_U} SELECT doc_id, page_index, entry_idx, part_idx, unit AS result FROM u WHERE wanted AND length(unit) > 40 AND regexp_matches(unit, '{_CJK}')",
     "pages_resumed": f"""WITH {_E}, t AS (SELECT source_document_id, max(pages_done) AS pages_done, max(page_count) AS page_count FROM (SELECT DISTINCT ON (id) * FROM translations) WHERE pages_done IS NOT NULL GROUP BY 1),
         c AS (SELECT d.doc_id, t.pages_done FROM t JOIN documents d ON d.id = t.source_document_id WHERE t.pages_done > 0 AND t.pages_done <= t.page_count AND t.page_count = d.page_count)

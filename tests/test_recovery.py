@@ -36,9 +36,10 @@ def test_styles_captions_and_pictures(spark):
 
 
 def test_boxes_turns_rules_and_readers(spark):
-    e = frame(spark, entry(0, [0, 0, 10, 10], text="Accepted: yes no"), entry(1, [0, 0, 10, 10], text="☑ yes"), entry(2, [0, 0, 10, 30], text="up"), entry(3, None, text=None))
+    e = frame(spark, entry(0, [0, 0, 10, 10], text="Accepted: yes no"), entry(1, [0, 0, 10, 10], text="Ok: ○ yes no"), entry(2, [0, 0, 10, 30], text="up"), entry(3, None, text=None), entry(4, None, "Table", text="x: yes no"), entry(5, None, text="no, the answer is no"), entry(6, None, "Form", text="结果：是 否"), entry(7, None, text="Yes and no"))
     cand = recovery.box_candidates(e)
-    assert [r.entry_idx for r in cand.collect()] == [0]
+    assert [r.entry_idx for r in cand.collect()] == [0, 6]
+    cand = cand.where("entry_idx = 0")
     new = cand.select(*layout.ENTRY, F.lit("Accepted: ☑ yes ☐ no").alias("new_text"))
     assert recovery.taken_boxes(cand, new).count() == 1 and recovery.taken_boxes(cand, new.withColumn("new_text", F.lit("☑ no"))).count() == 0
     assert [r.entry_idx for r in recovery.turn_candidates(e).collect()] == [2]
@@ -52,7 +53,11 @@ def test_boxes_turns_rules_and_readers(spark):
         return "text"
 
     assert sorted(tuple(r) for r in recovery.read_pages(pages, reader).collect()) == [(1, 0, "text", None), (1, 1, None, "bad page")]
-    assert {r.scan_type for r in recovery.scan_types(e).collect()} == {"scanned"}
+    heats = []
+    assert [r.error for r in recovery.read_pages(pages.where("page_index = 0"), lambda row, heat: {}[heat], 3).collect()] == ["0.4"] and heats == []
+    assert {r.scan_type for r in recovery.scan_types(e.where("entry_idx in (1, 2)")).collect()} == {"scanned"}
+    lines = frame(spark, *(entry(k, None, text="ten chars ") for k in range(4)))
+    assert {r.scan_type for r in recovery.scan_types(lines).collect()} == {"native"}
 
 
 def test_markdown_rows_and_emphasis(spark):

@@ -16,7 +16,10 @@ def test_columns(spark):
     assert one(spark, "☑ a ☐", X.masked) == "[[CBX_ON]] a [[CBX_OFF]]"
     assert one(spark, "[[CBX_ON]]☐", X.unmasked) == "☑☐"
     assert one(spark, "☑<INPUT type=x>", X.boxes) == 2
-    assert "".join(one(spark, "a<b>c< d</b>", X.parts)) == "a<b>c< d</b>"
+    assert one(spark, "a<b>c< d</b> 3 < 4", X.parts) == ["a", "<b>", "c", "< d</b>", " 3 < 4"]
+    assert one(spark, "$a\n\\text{b} + \\text{}$", X.formula_words) == ["$a\n", "\\text{b}", " + ", "\\text{}", "$"]
+    assert one(spark, '<td data-bbox="1 2" class=x><math>Q</math></td>', X.without_boxes_of_tags) == "<td class=x>$Q$</td>"
+    assert [one(spark, t, X.bare_formula) for t in ("<math>a</math> x <math> b</math>", "$$c$$ <b>d</b>", "", None)] == ["a b", "c d", "", None]
     assert one(spark, "$a\n$b$\nc", X.balanced_dollars) == "$a$\n$b$\nc"
     assert one(spark, "x <math>y</math> <math display='block'>z</math>", X.inline_math) == "x $y$ <math display='block'>z</math>"
     assert one(spark, "a\x01<&>", X.xml_escaped) == "a&lt;&amp;&gt;"
@@ -41,15 +44,20 @@ def test_names_tails_and_formulas(spark):
 
 
 def entries(spark, *texts):
-    return spark.createDataFrame([(1, 0, k, "Picture" if t == "skip" else "Text", t, "clash") for k, t in enumerate(texts)], E)
+    category = lambda t: "Picture" if t == "skip" else "Table" if t and t.startswith("<") else "Formula" if t and t.startswith("$") else "Text"
+    return spark.createDataFrame([(1, 0, k, category(t), t, "clash") for k, t in enumerate(texts)], E)
 
 
 def test_translation_round_trip(spark):
-    e = entries(spark, "plain", "<table><tr><td>a</td><td>12</td></tr></table>", None, "", "skip", "7 %", "x < y")
+    e = entries(spark, "plain", "<table><tr><td>a</td><td>12</td></tr></table>", None, "", "skip", "7 %", "x < y", "$\\frac{a}{b}\n\\text{if so}$", "☑ yes")
     got = {r.entry_idx: r.text for r in translate.translated(e).collect()}
-    assert got == {0: "PLAIN", 1: "<table><tr><td>A</td><td>12</td></tr></table>", 4: "skip", 5: "7 %", 6: "X < Y"}
+    assert got == {0: "PLAIN", 1: "<table><tr><td>A</td><td>12</td></tr></table>", 4: "skip", 5: "7 %", 6: "X < Y", 7: "$\\frac{a}{b}\n\\text{IF SO}$", 8: "☑ YES"}
+    assert translate.translated(e, window=1).collect() == translate.translated(e).collect()
+    every = translate.units(e, formulas=False)
+    raw = {r.entry_idx: r.text for r in translate.put_back(every, translate.called(translate.chunked(every.where("wanted")), translate.upper_model)).collect()}
+    assert raw[7] == "$\\frac{a}{b}\n\\text{if so}$"
     same = {r.entry_idx: r.text for r in translate.translated(e, lambda ts: ts).collect()}
-    assert same == {0: "plain", 1: e.collect()[1].text, 4: "skip", 5: "7 %", 6: "x < y"}
+    assert same == {0: "plain", 1: e.collect()[1].text, 4: "skip", 5: "7 %", 6: "x < y", 7: "$\\frac{a}{b}\n\\text{if so}$", 8: "☑ yes"}
     assert translate.translated(e.where("false")).count() == 0
 
 
@@ -88,6 +96,43 @@ def test_every_entry_is_translated(spark, folder, tmp_path):
 
     texts = spark.createDataFrame(enumerate(["Straße ﬁn", "<td>Maß</td>", "plain", "", None]), "entry_idx int, text string")
     one_entry = spark.read.parquet(f"{folder}/page_entries.parquet").limit(1).drop("entry_idx", "text").withColumn("category", F.lit("Text"))
-    one_entry.crossJoin(texts).write.parquet(f"{tmp_path}/page_entries.parquet")
-    got = {r.entry_idx: r.text for r in plans.QUERIES["entries_translated_all"](spark, str(tmp_path)).collect()}
-    assert got == {0: "STRASSE FIN", 1: "<td>MASS</td>", 2: "PLAIN"}
+    one_entry.crossJoin(texts).withColumn("category", F.when(F.col("text").startswith("<"), "Table").otherwise("Text")).write.parquet(f"{tmp_path}/page_entries.parquet")
+    got = {r.entry_idx: r.text for r in plans.QUERIES["entries_translated"](spark, str(tmp_path)).collect()}
+    assert got == {0: "» Straße ﬁn", 1: "<td>» Maß</td>", 2: "» plain"}
+
+
+def test_boxes_reach_the_model_as_words_and_echoes_are_refused(spark):
+    wanted = translate.units(entries(spark, "☑ yes", "☐ no")).where("wanted")
+    echo = lambda ts: [translate.SEPARATOR + t if len(ts) > 1 else t.replace("[[CBX_ON]]", "ON") for t in ts]
+    out = {r.unit: (r.result, r.fell_back) for r in translate.called(translate.chunked(wanted), echo).collect()}
+    assert out == {"☑ yes": ("ON yes", False), "☐ no": ("☐ no", False)}
+
+
+def test_a_chunk_is_asked_twice_and_failing_retries_keep_the_result(spark, tmp_path):
+    wanted = translate.units(entries(spark, "a", "中文")).where("wanted")
+    seen = tmp_path / "asked"
+
+    def second_time(texts):
+        if not seen.exists():
+            seen.write_text("x")
+            raise ValueError("first")
+        return [t + "!" for t in texts]
+
+    out = translate.called(translate.chunked(wanted), second_time)
+    assert {r.unit: r.result for r in out.collect()} == {"a": "a!", "中文": "中文!"}
+
+    def broken(texts):
+        raise ValueError("always")
+
+    assert {r.unit: r.result for r in translate.retried(out, broken).collect()}["中文"] == "中文!"
+    assert {r.unit: r.result for r in translate.retried(out, lambda ts: ["zhongwen"] if len(ts) == 1 else []).collect()}["中文"] == "zhongwen"
+
+
+def test_hydrated_images(spark):
+    rows = spark.createDataFrame([("d", "documents/d/images/a.png"), ("d", "../x\\\\b.png"), ("d", None), ("e", "a.png")], "id string, image_key string")
+    stored = spark.createDataFrame([("d", "a.png", 5), ("d", "b.png", 6)], "id string, name string, size int")
+    assert [(r.size, r.found) for r in translate.hydrated(rows, stored, "image_key").orderBy("id", F.col("image_key").desc_nulls_last()).collect()] == [(5, True), (6, True), (None, None), (None, False)]
+
+
+def test_signs_of_formulas():
+    assert X.latex_to_unicode(r"\tau \nu \partial \int \equiv \sim") == "τ ν ∂ ∫ ≡ ∼"
