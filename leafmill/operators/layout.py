@@ -22,12 +22,16 @@ ENTRY = [*PAGE, "entry_idx"]
 PICTURES, HEADERS_FOOTERS = ("Image", "Figure", "Picture"), ("Page-Header", "Page-Footer")
 
 
-def entries(page_entries: DataFrame) -> DataFrame:
-    """Entries with corners turned right, the category in one spelling, repeated rows once, and the page's defaults filled in."""
+def entries(page_entries: DataFrame, by: tuple[str, ...] = tuple(PAGE)) -> DataFrame:
+    """Entries with corners turned right, the category in one spelling, repeated rows once, and the page's defaults filled in.
+
+    Rows are spread by ``by`` at once; what follows groups, orders and joins
+    by it, and finds the rows in place: by page, or by document alone.
+    """
     x1, y1, x2, y2 = G.corners(F.col("bbox"))
     names = F.array_join(F.transform(F.split(F.trim("category"), "[-_ ]+"), lambda w: F.initcap(w)), "-")
-    # By page at once: what follows groups, orders and joins within pages, and finds the rows in place.
-    return page_entries.repartition(*PAGE).dropDuplicates(ENTRY).select(
+    used = [*ENTRY, "category", "text", "bbox", "rotation", "source", "page_width_pt", "page_height_pt", "zoom"]
+    return page_entries.select(*used).repartition(*by).dropDuplicates(ENTRY).select(
         *ENTRY, F.nullif(names, F.lit("")).alias("category"), "text", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"),
         G.quarter_turn(F.col("rotation")).alias("rotation"), "source",
         F.coalesce(F.nullif("page_width_pt", F.lit(0.0)), F.lit(595.0)).alias("page_width_pt"),
@@ -151,19 +155,33 @@ def derotated(rows: DataFrame) -> DataFrame:
     )
 
 
+# What stands before and after the text of a category in Markdown; all others stand bare.
+MARKDOWN = {
+    "Page-Header": ("## ", ""), "Section-Header": ("## ", ""), "Title": ("# ", ""), "Equation-Block": ("$$\n", "\n$$"), "Formula": ("$$\n", "\n$$"), "Code-Block": ("```\n", "\n```"),
+    "Chemical-Block": ("```\n", "\n```"), "Form": ("```\n", "\n```"), "Diagram": ("```mermaid\n", "\n```"), "Caption": ("*", "*"), "Page-Footer": ("^", "^"), "Footnote": ("^", "^"),
+}
+
+
 def markdown(rows: DataFrame) -> DataFrame:
-    """Each document's entries as Markdown in reading order: titles, lists, formulas, code and captions by category, page heads and feet left out."""
-    text, low = F.trim(F.coalesce("text", F.lit(""))), F.lower("category")
-    body = (
-        F.when(low.isin("title"), F.concat(F.lit("# "), text)).when(low == "section-header", F.concat(F.lit("## "), text))
-        .when(low.isin("equation-block", "formula"), F.concat(F.lit("$$"), text, F.lit("$$"))).when(low == "code-block", F.concat(F.lit("```\n"), text, F.lit("\n```")))
-        .when(low == "caption", F.concat(F.lit("*"), text, F.lit("*"))).when(low == "footnote", F.concat(F.lit("> "), text)).otherwise(text)
-    )
-    kept = rows.where(~F.coalesce(low.isin(*(c.lower() for c in HEADERS_FOOTERS)), F.lit(False)) & (text != ""))
+    """Each document's entries as Markdown, page by page in reading order, an empty line after each.
+
+    Pictures are named by their ``image_url``, if rows have it, else as
+    detected, with their text as the alternative; a table that isn't markup is
+    marked as one; entries without text are left out; a category that isn't
+    known stands as plain text.
+    """
+    text, category = F.coalesce("text", F.lit("")), F.col("category")
+    url = F.coalesce(F.col("image_url") if "image_url" in rows.columns else F.lit(None), F.lit("Image detected"))
+    alt = F.when(F.trim(text) == "", "Image").otherwise(F.trim(text))
+    body = F.when(category.isin("Image", "Figure"), F.concat(F.lit("!["), alt, F.lit("]("), url, F.lit(")")))
+    body = body.when((category == "Table") & ~F.trim(text).startswith("<"), F.concat(F.lit("**Table:** "), text))
+    for name, (before, after) in MARKDOWN.items():
+        body = body.when(category == name, F.concat(F.lit(before), text, F.lit(after)))
+    picture = F.coalesce(category.isin("Image", "Figure"), F.lit(False))
     keys = reading_key()
     # A document's entries make one string; the document bounds the list.
-    blocks = kept.select("doc_id", F.struct("page_index", keys[0].alias("a"), keys[1].alias("b"), "entry_idx", body.alias("body")).alias("e"))
-    return blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("es")).select("doc_id", F.array_join(F.col("es.body"), "\n\n").alias("markdown"))
+    blocks = rows.where(picture | (text != "")).select("doc_id", F.struct("page_index", keys[0].alias("a"), keys[1].alias("b"), "entry_idx", F.concat(body.otherwise(text), F.lit("\n")).alias("body")).alias("e"))
+    return blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("es")).select("doc_id", F.array_join(F.col("es.body"), "\n").alias("markdown"))
 
 
 def page_windows(rows: DataFrame, size: int = 32) -> DataFrame:

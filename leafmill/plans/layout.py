@@ -128,8 +128,8 @@ _SX = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0)"
 _SY = "greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)"
 _PAIR = "e a JOIN e b ON a.doc_id = b.doc_id AND a.page_index = b.page_index"
 _IN = f"a.x1 >= b.x1 - {SLACK} AND a.y1 >= b.y1 - {SLACK} AND a.x2 <= b.x2 + {SLACK} AND a.y2 <= b.y2 + {SLACK}"
-_BODY = """CASE lower(category) WHEN 'title' THEN '# ' || t WHEN 'section-header' THEN '## ' || t WHEN 'equation-block' THEN '$$' || t || '$$' WHEN 'formula' THEN '$$' || t || '$$'
-    WHEN 'code-block' THEN '```' || chr(10) || t || chr(10) || '```' WHEN 'caption' THEN '*' || t || '*' WHEN 'footnote' THEN '> ' || t ELSE t END"""
+_MARKS = " ".join("WHEN '{}' THEN {} || t || {}".format(c, *("'" + x.replace(chr(10), "' || chr(10) || '") + "'" for x in marks)) for c, marks in layout.MARKDOWN.items())
+_BODY = f"CASE WHEN category IN ('Image', 'Figure') THEN '![' || CASE WHEN trim(t) = '' THEN 'Image' ELSE trim(t) END || '](Image detected)' WHEN category = 'Table' AND trim(t)[1] <> '<' THEN '**Table:** ' || t ELSE CASE category {_MARKS} ELSE t END END || chr(10)"
 
 
 def _room(along: str, other: str) -> str:
@@ -169,8 +169,8 @@ SQL = {
         SELECT doc_id, page_index, entry_idx, rotation, CASE rotation WHEN 90 THEN h - y2 WHEN 270 THEN y1 ELSE x1 END AS x1, CASE rotation WHEN 90 THEN x1 WHEN 270 THEN w - x2 ELSE y1 END AS y1,
         CASE rotation WHEN 90 THEN h - y1 WHEN 270 THEN y2 ELSE x2 END AS x2, CASE rotation WHEN 90 THEN x2 WHEN 270 THEN w - x1 ELSE y2 END AS y2,
         CASE WHEN rotation IN (90, 270) THEN h ELSE w END AS page_width_px, CASE WHEN rotation IN (90, 270) THEN w ELSE h END AS page_height_px FROM p""",
-    "page_markdown": f"""WITH {_E}, k AS (SELECT *, trim(coalesce(text, '')) AS t FROM e WHERE lower(coalesce(category, '')) NOT IN ('page-header', 'page-footer'))
-        SELECT doc_id, string_agg({_BODY}, chr(10) || chr(10) ORDER BY page_index, coalesce(y1, 0), coalesce(x1, 0), entry_idx) AS markdown FROM k WHERE t <> '' GROUP BY doc_id""",
+    "page_markdown": f"""WITH {_E}, k AS (SELECT *, coalesce(text, '') AS t FROM e)
+        SELECT doc_id, string_agg({_BODY}, chr(10) ORDER BY page_index, coalesce(y1, 0), coalesce(x1, 0), entry_idx) AS markdown FROM k WHERE t <> '' OR category IN ('Image', 'Figure') GROUP BY doc_id""",
     "page_windows": f"WITH {_E} SELECT doc_id, CAST(floor(page_index / 4) AS INTEGER) AS window_no, count(DISTINCT page_index) AS n_pages, count(*) AS n_entries FROM e GROUP BY ALL",
     "empty_documents": f"""WITH {_E}, t AS (SELECT doc_id, count(*) AS n_entries, count(*) FILTER (trim(coalesce(text, '')) = '') AS n_empty FROM e WHERE coalesce(category, '') NOT IN ('Image', 'Figure', 'Picture') GROUP BY ALL)
         SELECT * FROM t WHERE n_entries > 2 AND n_empty > 0.02 * n_entries""",

@@ -3,6 +3,7 @@ import os
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from leafmill.operators import incremental
 from leafmill.sources import files, table
@@ -57,3 +58,44 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     counted = arrivals.progress(stream).writeStream.outputMode("complete").format("memory").queryName("progress").trigger(availableNow=True).start()
     counted.awaitTermination(120)
     assert spark.sql("select sum(n) from progress").first()[0] == len(rows)
+
+
+def test_a_change_back_within_a_batch_is_kept(spark, tmp_path):
+    import datetime as dt
+
+    t = dt.datetime(2025, 1, 1)
+    row = lambda k, status, hours: {"feed_id": k, "tab": "d", "rec_id": "r", "status": status, "updated_at": t, "arrived_at": t + dt.timedelta(hours=hours)}
+    files = [[row(1, "A", 1)], [row(2, "B", 2), row(3, "A", 3), row(3, "A", 3)], [row(4, "A", 4), row(5, None, 5), {**row(6, "C", 6), "updated_at": None}]]
+    os.makedirs(tmp_path / "in")
+    schema = pa.schema([("feed_id", pa.int64()), ("tab", pa.string()), ("rec_id", pa.string()), ("status", pa.string()), ("updated_at", pa.timestamp("us")), ("arrived_at", pa.timestamp("us"))])
+    for k, rows in enumerate(files):
+        path = tmp_path / "in" / f"{k}.parquet"
+        pq.write_table(pa.Table.from_pylist(rows, schema), path)
+        os.utime(path, (k, k))
+    stream = arrivals.feed_stream(spark, str(tmp_path / "in"), 1)
+    arrivals.write_changes(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    got = sorted(r.version for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    every = spark.read.parquet(str(tmp_path / "in"))
+    assert got == sorted(r.version for r in incremental.changes(every).collect()) == [1, 2, 3, 5]
+
+
+def test_bytes_are_written_before_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a", "x.PDF", "error"), ("b", "y.pdf", None)], "id string, original_name string, status string")
+    contents = spark.createDataFrame([("a", "source", "x.PDF", b"one"), ("a", "image", "../../etc\\\\p.png", b"two"), ("a", "json", None, b"[]"), ("a", "markdown", "", None)], "id string, artifact string, name string, content binary")
+    new = files.insert(rows, contents, str(tmp_path / "store"), str(tmp_path / "documents.parquet"), F.lit("2025-01-01").cast("timestamp_ntz"))
+    assert [(r.id, r.status, r.source_key) for r in new.collect()] == [("a", "queued", "documents/a/source.pdf")]
+    assert spark.read.parquet(str(tmp_path / "documents.parquet")).count() == 1
+    assert sorted(str(p.relative_to(tmp_path / "store")) for p in (tmp_path / "store").rglob("*") if p.is_file() and not p.name.startswith(".")) == ["documents/a/images/p.png", "documents/a/layout.json", "documents/a/output.md", "documents/a/source.pdf"]
+    assert files.layouts(spark, str(tmp_path / "store")).count() == 1
+    with pytest.raises(Exception, match="no such artifact"):
+        files.insert(rows, contents.withColumn("artifact", F.lit("other")), str(tmp_path / "s2"), str(tmp_path / "d2.parquet"), F.lit("2025-01-01").cast("timestamp_ntz"))
+    assert not os.path.exists(tmp_path / "d2.parquet")
+
+
+def test_keys_of_images_stay_in_their_folder(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a.png",), ("../../x/b.png",), ("c\\\\d.png",), ("..",), ("x/",), (None,)], "k string")
+    assert [r[0] for r in df.select(files.basename(F.col("k"))).collect()] == ["a.png", "b.png", "d.png", None, None, None]

@@ -61,7 +61,13 @@ def test_styles_turns_and_clusters(spark):
 
 def test_markdown_and_shares(spark):
     e = frame(spark, entry(0, [0, 9, 1, 10], "Section-Header", "T"), entry(1, [0, 20, 1, 30], "Text", " a "), entry(2, [0, 1, 1, 2], "Page-Header", "head"), entry(3, None, "Text", None), entry(4, [0, 30, 1, 40], "Equation-Block", "x"))
-    assert layout.markdown(e).first().markdown == "## T\n\na\n\n$$x$$"
+    assert layout.markdown(e).first().markdown == "\n".join(["## head\n", "## T\n", " a \n", "$$\nx\n$$\n"])
+    kinds = ["Title", "Image", "Figure", "Table", "Table", "Code-Block", "Diagram", "Caption", "Page-Footer", "Unheard-Of", "List-Group", "Text"]
+    texts = ["t", " alt ", None, "<table>", "x", "c", "g", "cap", "foot", "u", "- l", ""]
+    every = frame(spark, *(entry(k, [0, 10 * k, 1, 10 * k + 5], c, x) for k, (c, x) in enumerate(zip(kinds, texts))))
+    want = ["# t", "![alt](Image detected)", "![Image](Image detected)", "<table>", "**Table:** x", "```\nc\n```", "```mermaid\ng\n```", "*cap*", "^foot^", "u", "- l"]
+    assert layout.markdown(every).first().markdown == "\n".join(x + "\n" for x in want)
+    assert layout.markdown(every.withColumn("image_url", F.lit("u.png"))).first().markdown.split("\n")[2] == "![alt](u.png)"
     assert layout.empty_share(e, 2, 0.1).first().n_empty == 1
     assert layout.page_windows(e, 2).first().n_entries == 5
 
