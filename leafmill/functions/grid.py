@@ -286,10 +286,9 @@ def one_value_dominates(rows: list[Row], least: int = 60, share: float = 0.7) ->
     return sum(texts.values()) >= least and max(texts.values(), default=0) > share * sum(texts.values())
 
 
-def health(text: str | None, truncated: bool = False, ruled: int = 0, least_placed: float = 0.85, ratio: float = 1.5) -> dict:
-    """Shape and defects of one table; ``ruled`` is the number of columns that ruled lines show, 0 if not measured."""
-    rows = read_table(text)
-    grid = build(rows)
+def health(text: str | None, truncated: bool = False, ruled: int = 0, least_placed: float = 0.85, ratio: float = 1.5, read: tuple[list[Row], Grid] | None = None) -> dict:
+    """Shape and defects of one table; ``ruled`` is the number of columns that ruled lines show, 0 if not measured; ``read`` are its rows and grid, if they are known."""
+    rows, grid = read or (r := read_table(text), build(r))
     emitted, placed = sum(len(cells) for cells, _ in rows), len(grid.anchored())
     out = {
         "cols": grid.columns, "n_rows": grid.rows, "full_rows": grid.full_rows(), "emitted": emitted, "placed": placed, "widest_row": widest_row(text),
@@ -336,13 +335,17 @@ def signature(text: str) -> str:
     return re.sub("[^0-9a-z㐀-䶿一-鿿]", "", text.lower())
 
 
-def signatures(text: str | None) -> Counter:
-    return Counter(s for p in build(read_table(text)).anchored() if (s := signature(p.cell.text)))
+def signatures(grid: Grid) -> Counter:
+    return Counter(s for p in grid.anchored() if (s := signature(p.cell.text)))
 
 
-def keeps_content(old: str | None, new: str | None, floor: int = 3, share: float = 0.25) -> bool:
+def keeps_content(old: str | None, new: str | None) -> bool:
+    """keeps_values of the cells of two tables."""
+    return keeps_values(signatures(build(read_table(old))), signatures(build(read_table(new))))
+
+
+def keeps_values(before: Counter, after: Counter, floor: int = 3, share: float = 0.25) -> bool:
     """True if no value of the old table vanishes and none loses more than ``floor`` copies or a ``share`` of them."""
-    before, after = signatures(old), signatures(new)
     return all(0 < after[s] and n - after[s] <= max(floor, int(n * share)) for s, n in before.items())
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import grid as G
@@ -84,30 +84,55 @@ def covered(placed: DataFrame) -> DataFrame:
     ).select("table_id", "cell_row", "cell_col", "row_no", F.explode(F.sequence("col_no", F.col("col_no") + F.col("colspan") - 1)).alias("col_no"))
 
 
-def value_counts(placed: DataFrame) -> DataFrame:
-    """table_id, value, n of the values in cells; letters, digits and Chinese characters only, lower case."""
-    value = F.regexp_replace(F.lower("text"), "[^0-9a-z㐀-䶿一-鿿]", "")
-    return placed.select("table_id", value.alias("value")).where("value <> ''").groupBy("table_id", "value").agg(F.count(F.lit(1)).alias("n"))
+def full_columns(tables: DataFrame) -> DataFrame:
+    """Columns in which every row of a table's grid that has a cell of its own has one; read once a table."""
 
+    def columns(key: str, text: str | None) -> Iterator[tuple]:
+        rows: dict[int, set[int]] = {}
+        placed = G.build(read_table(text)).anchored()
+        for p in placed:
+            rows.setdefault(p.col, set()).add(p.row)
+        every = {p.row for p in placed}
+        for c in sorted(rows):
+            if rows[c] == every:
+                yield key, c
 
-def kept_content(old: DataFrame, new: DataFrame, floor: int = 3, share: float = 0.25) -> DataFrame:
-    """table_id, kept: whether no value of the old cells vanishes in the new ones or loses too many copies; two counts and one join on (table, value)."""
-    before, after = value_counts(old), value_counts(new).withColumnRenamed("n", "now")
-    lost = F.col("n") - F.coalesce("now", F.lit(0))
-    good = F.col("now").isNotNull() & (lost <= F.greatest(F.lit(floor), F.floor(F.col("n") * share)))
-    return before.join(after, ["table_id", "value"], "left").groupBy("table_id").agg(F.bool_and(good).alias("kept"))
+    return _mapped(tables, columns, "table_id string, col_no int")
 
 
-def better(old: DataFrame, new: DataFrame) -> DataFrame:
-    """table_id, better: whether a second reading's health beats the first's, by degeneracy, missing columns, placed share, full share and placed cells in this order."""
+def _score(h: dict) -> tuple:
+    share = lambda a, b: round(a / b, 3) if b else 0.0
+    return (not h["degenerate"], not h["missing_columns"], share(h["placed"], h["emitted"]), share(h["full_rows"], h["n_rows"]), h["placed"])
 
-    def score(p: str) -> Column:
-        part = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(f"{p}{a}"), F.col(f"{p}{b}")), F.lit(0.0)), 3)
-        return F.struct(~F.col(f"{p}degenerate"), ~F.col(f"{p}missing_columns"), part("placed", "emitted"), part("full_rows", "n_rows"), F.col(f"{p}placed"))
 
-    a = old.select("table_id", *(F.col(c).alias(f"a_{c}") for c in old.columns if c != "table_id"))
-    b = new.select("table_id", *(F.col(c).alias(f"b_{c}") for c in new.columns if c != "table_id"))
-    return a.join(b, "table_id").select("table_id", (score("b_") > score("a_")).alias("better"))
+def judged(pairs: DataFrame) -> DataFrame:
+    """table_id, kept, better, taken of ``pairs(table_id, old, new)``, two readings of a table.
+
+    ``kept``: no value of the old cells vanishes in the new ones or loses too
+    many copies. ``better``: the new one's health beats the old one's, by
+    degeneracy, missing columns, placed share, full share and placed cells in
+    this order. ``taken``: both. Null where a reading is null. Both readings
+    stand in one row, so they are compared where they are read.
+    """
+    arrow = pa.schema([("table_id", pa.string()), *((c, pa.bool_()) for c in ("kept", "better", "taken"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, better = [], []
+            for old, new in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if old is None or new is None or old == new:
+                    kept.append(None if old is None or new is None else True)
+                    better.append(None if old is None or new is None else False)
+                    continue
+                # Each reading is parsed and placed once.
+                a, b = ((rows, G.build(rows)) for rows in (read_table(old), read_table(new)))
+                kept.append(G.keeps_values(G.signatures(a[1]), G.signatures(b[1])))
+                better.append(_score(G.health(new, read=b)) > _score(G.health(old, read=a)))
+            taken = [None if k is None else k and b for k, b in zip(kept, better)]
+            yield pa.record_batch([batch.column(0), *(pa.array(c, pa.bool_()) for c in (kept, better, taken))], schema=arrow)
+
+    slim = pairs.select(F.col("table_id").cast("string"), F.col("old").cast("string"), F.col("new").cast("string"))
+    return slim.mapInArrow(run, "table_id string, kept boolean, better boolean, taken boolean")
 
 
 def chains(tables: DataFrame, gap_pt: float = 60.0) -> DataFrame:

@@ -14,28 +14,26 @@ def _page_tables(spark, folder):
     return e.select(F.concat_ws("/", *layout.ENTRY).alias("table_id"), F.col("text").alias("html"), "doc_id", "page_index", "entry_idx", "y1", "zoom")
 
 
-def _lines(spark, folder):
+def _lines(spark, folder, by="l_orderkey"):
+    """Order lines, spread by what makes a table of them; reading tables is work for processors, so small partitions aren't made one."""
     li = table(spark, folder, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), by)
 
 
 def _tag(name, *columns):
     return F.concat(*(x for c in columns for x in (F.lit(f"<{name}>"), F.col(c).cast("string"), F.lit(f"</{name}>"))))
 
 
-def _order_tables(spark, folder, changed=False):
+def _order_tables(spark, folder):
     """A table for each order: a row for each line with number, part and flag."""
-    rows = _lines(spark, folder)
-    if changed:  # another reading: the flag of first lines is misread, second lines are lost in every third order
-        rows = rows.where("not (l_linenumber = 2 and l_orderkey % 3 = 0)").withColumn("l_returnflag", F.when((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 5 == 0), F.lit("Q")).otherwise(F.col("l_returnflag")))
     cells = F.concat(F.lit("<tr>"), _tag("td", "l_linenumber", "l_partkey", "l_returnflag"), F.lit("</tr>"))
-    listed = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", cells.alias("tr")))).alias("rs"))
+    listed = _lines(spark, folder).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", cells.alias("tr")))).alias("rs"))
     return listed.select(F.col("l_orderkey").cast("string").alias("table_id"), F.concat(F.lit("<table>"), F.array_join(F.col("rs.tr"), ""), F.lit("</table>")).alias("html"))
 
 
 def _run_together(spark, folder):
     """A table for each supplier whose rows all ran together into one."""
-    listed = _lines(spark, folder).groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", _tag("td", "l_partkey", "l_returnflag").alias("td")))).alias("rs"))
+    listed = _lines(spark, folder, "l_suppkey").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", _tag("td", "l_partkey", "l_returnflag").alias("td")))).alias("rs"))
     return listed.select(F.col("l_suppkey").cast("string").alias("table_id"), F.concat(F.lit("<table><tr>"), F.array_join(F.col("rs.td"), ""), F.lit("</tr></table>")).alias("html"))
 
 
@@ -69,21 +67,60 @@ def order_table_weights(spark, folder):
     return tables.weights(_order_tables(spark, folder))
 
 
+def _readings(spark, folder):
+    """Both readings of each order's table, listed by one aggregation."""
+    cells = lambda flag: F.concat(F.lit("<tr>"), F.concat(*(x for c in (F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), flag) for x in (F.lit("<td>"), c, F.lit("</td>")))), F.lit("</tr>"))
+    changed = F.when((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 5 == 0), F.lit("Q")).otherwise(F.col("l_returnflag"))
+    lost = (F.col("l_linenumber") == 2) & (F.col("l_orderkey") % 3 == 0)
+    rows = _lines(spark, folder)
+    one = rows.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", cells(F.col("l_returnflag")).alias("tr")))).alias("old"),
+        F.array_sort(F.collect_list(F.when(~lost, F.struct("l_linenumber", cells(changed).alias("tr"))))).alias("new"),
+    )
+    html = lambda c: F.concat(F.lit("<table>"), F.array_join(F.col(f"{c}.tr"), ""), F.lit("</table>"))
+    return one.select(F.col("l_orderkey").cast("string").alias("table_id"), html("old").alias("old"), F.when(F.size("new") > 0, html("new")).alias("new"))
+
+
 def content_kept(spark, folder):
     """Whether a second reading of each order's table keeps its content."""
-    return tables.kept_content(tables.cells(_order_tables(spark, folder)), tables.cells(_order_tables(spark, folder, changed=True)))
+    return tables.judged(_readings(spark, folder)).select("table_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def reading_better(spark, folder):
     """Whether a second reading of each order's table is the healthier one."""
-    return tables.better(tables.health(_order_tables(spark, folder)), tables.health(_order_tables(spark, folder, changed=True)))
+    return tables.judged(_readings(spark, folder)).where("better is not null").select("table_id", "better")
+
+
+def reading_taken(spark, folder):
+    """Which reading of two suppliers' tables is taken: the second one parts the cells that had run together in the first."""
+    listed = _lines(spark, folder, "l_suppkey").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", _tag("td", "l_partkey", "l_returnflag").alias("td")))).alias("rs"))
+    old = F.concat(F.lit("<table><tr>"), F.array_join("rs.td", ""), F.lit("</tr></table>"))
+    new = F.concat(F.lit("<table><tr>"), F.array_join(F.slice(F.col("rs.td"), 1, 190), "</tr><tr>"), F.lit("</tr></table>"))
+    return tables.judged(listed.select(F.col("l_suppkey").cast("string").alias("table_id"), old.alias("old"), new.alias("new"))).select("table_id", "better")
 
 
 def canonical_columns(spark, folder):
     """Columns that every row of a table covers from its own edge."""
-    squares = tables.cells(_page_tables(spark, folder)).groupBy("table_id", "col_no").agg(F.countDistinct("row_no").alias("n"))
-    rows = tables.cells(_page_tables(spark, folder)).groupBy("table_id").agg(F.countDistinct("row_no").alias("n_rows"))
-    return squares.join(rows, "table_id").where("n = n_rows").select("table_id", "col_no")
+    return tables.full_columns(_page_tables(spark, folder))
+
+
+def _span_tables(spark, folder):
+    """A table for each customer: the customer over all rows, then each order with its number, its state over two columns and its date."""
+    o = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_custkey")
+    td = F.concat(F.lit("<td>"), F.col("o_orderkey").cast("string"), F.lit("</td><td colspan='2'>"), F.col("o_orderstatus"), F.lit("</td><td>"), F.col("o_totalprice").cast("string"), F.lit("</td>"))
+    listed = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", td.alias("td")))).alias("rs"))
+    rows = F.transform("rs", lambda r, i: F.concat(F.lit("<tr>"), F.when(i == 0, F.concat(F.lit('<td rowspan="'), F.size("rs").cast("string"), F.lit('">c'), F.col("o_custkey").cast("string"), F.lit("</td>"))).otherwise(""), r["td"], F.lit("</tr>")))
+    return listed.select(F.col("o_custkey").cast("string").alias("table_id"), F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>")).alias("html"))
+
+
+def span_table_cells(spark, folder):
+    """Cells of tables with spans in both directions, placed."""
+    return tables.cells(_span_tables(spark, folder)).select("table_id", "row_no", "col_no", "text", "colspan", "rowspan")
+
+
+def span_table_squares(spark, folder):
+    """Squares that the cells of tables with spans cover."""
+    return tables.covered(tables.cells(_span_tables(spark, folder)))
 
 
 def covered_squares(spark, folder):
@@ -140,7 +177,7 @@ def grid_golden(spark, folder):
     return tables.cells(t).select("table_id", "row_no", "col_no", "text", "colspan", "rowspan")
 
 
-_NAMES = """table_raw_cells table_cells table_health order_table_cells order_table_health run_together_health order_table_weights content_kept reading_better
+_NAMES = """table_raw_cells table_cells table_health order_table_cells order_table_health run_together_health order_table_weights content_kept reading_better reading_taken span_table_cells span_table_squares
 canonical_columns covered_squares order_chains page_chains grid_golden""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 assert G.MOST_COLUMNS == 40
@@ -151,6 +188,9 @@ _CELLS = f"""{_ROWS}, c AS (SELECT CAST(l_orderkey AS VARCHAR) AS table_id,
     unnest([CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), l_returnflag]) AS text FROM r)"""
 _CHANGED = """lineitem2 AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 1 AND l_orderkey % 5 = 0 THEN 'Q' ELSE l_returnflag END AS l_returnflag FROM lineitem WHERE NOT (l_linenumber = 2 AND l_orderkey % 3 = 0))"""
 _CELLS2 = _CELLS.replace("c AS", "c2 AS", 1).replace("r AS", "r2 AS", 1).replace("FROM r)", "FROM r2)").replace("FROM lineitem)", "FROM lineitem2)")
+_SPANS = """o AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS r, CAST(count(*) OVER (PARTITION BY o_custkey) AS INTEGER) AS n FROM orders),
+    c AS (SELECT CAST(o_custkey AS VARCHAR) AS table_id, r AS row_no, 0 AS col_no, 'c' || o_custkey AS text, 1 AS colspan, n AS rowspan FROM o WHERE r = 0
+        UNION ALL SELECT CAST(o_custkey AS VARCHAR), r, unnest([1, 2, 4]), unnest([CAST(o_orderkey AS VARCHAR), o_orderstatus, CAST(o_totalprice AS VARCHAR)]), unnest([1, 2, 1]), 1 FROM o)"""
 SQL = {
     "order_table_cells": f"WITH {_CELLS} SELECT table_id, row_no, col_no, text FROM c",
     "order_table_health": f"WITH {_ROWS} SELECT CAST(l_orderkey AS VARCHAR) AS table_id, 3 AS cols, CAST(count(*) AS INTEGER) AS n_rows, CAST(count(*) AS INTEGER) AS full_rows, CAST(3 * count(*) AS INTEGER) AS emitted, CAST(3 * count(*) AS INTEGER) AS placed, CAST(3 AS INTEGER) AS widest_row, true AS healthy FROM r GROUP BY l_orderkey",
@@ -161,6 +201,10 @@ SQL = {
         SELECT table_id, bool_and(m IS NOT NULL AND n - m <= greatest(3, floor(n * 0.25))) AS kept FROM a LEFT JOIN b USING (table_id, v) GROUP BY table_id""",
     "reading_better": f"""WITH {_CHANGED}, {_ROWS}, a AS (SELECT l_orderkey, count(*) AS n FROM r GROUP BY 1), b AS (SELECT l_orderkey, count(*) AS m FROM lineitem2 GROUP BY 1)
         SELECT CAST(l_orderkey AS VARCHAR) AS table_id, m > n AS better FROM a JOIN b USING (l_orderkey)""",
+    "reading_taken": "SELECT CAST(l_suppkey AS VARCHAR) AS table_id, CASE WHEN 2 * count(*) > 40 THEN true ELSE count(*) > 1 END AS better FROM lineitem GROUP BY l_suppkey",
+    "span_table_cells": f"WITH {_SPANS} SELECT table_id, row_no, col_no, text, colspan, rowspan FROM c",
+    "span_table_squares": f"""WITH {_SPANS}, s AS (SELECT table_id, row_no AS cell_row, col_no AS cell_col, unnest(range(row_no, row_no + rowspan)) AS row_no, col_no, colspan FROM c)
+        SELECT table_id, cell_row, cell_col, CAST(row_no AS INTEGER) AS row_no, CAST(unnest(range(col_no, col_no + colspan)) AS INTEGER) AS col_no FROM s""",
     "order_chains": """WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS table_id, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey // 2) AS page_index, o_orderkey AS entry_idx, o_orderkey % 100 AS y1, 3 + o_orderkey % 2 AS cols, o_orderstatus = 'P' AS has_head FROM orders),
         f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY entry_idx) = 1 AS first, lag(cols) OVER (PARTITION BY doc_id ORDER BY page_index, entry_idx) AS before FROM t),
         s AS (SELECT *, CASE WHEN first AND before = cols AND NOT has_head AND y1 - 10 <= 60 THEN 0 ELSE 1 END AS start FROM f),
