@@ -139,6 +139,11 @@ def _room(along: str, other: str) -> str:
         ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.entry_idx <> b.entry_idx AND b.{along}1 >= a.{along}2 AND {shared} > 0 GROUP BY ALL"""
 
 
+_LINKED = f"""{_E}, f AS (SELECT *, 0.6::DOUBLE * least(y2 - y1, x2 - x1) AS reach FROM e WHERE x1 IS NOT NULL),
+    d AS (SELECT a.doc_id, a.page_index, a.entry_idx AS i, b.entry_idx AS j, a.reach, greatest(a.x1, b.x1) - least(a.x2, b.x2) AS dx, greatest(a.y1, b.y1) - least(a.y2, b.y2) AS dy
+        FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.entry_idx < b.entry_idx),
+    k AS (SELECT doc_id, page_index, i, j FROM d WHERE (dx <= 0 AND dy <= reach) OR (dy <= 0 AND dx <= reach)), l AS (SELECT * FROM k UNION ALL SELECT doc_id, page_index, j, i FROM k),
+    c AS (SELECT doc_id, page_index, entry_idx, entry_idx AS root FROM f UNION SELECT c.doc_id, c.page_index, l.j, c.root FROM c JOIN l ON l.doc_id = c.doc_id AND l.page_index = c.page_index AND l.i = c.entry_idx)"""
 SQL = {
     "entries_clean": f"WITH {_E} SELECT doc_id, page_index, entry_idx, category, x1, y1, x2, y2, rotation, zoom FROM e",
     "entry_orders": f"""WITH {_E}, k AS (SELECT *, coalesce(x1, 0) AS u, coalesce(y1, 0) AS v, coalesce(y2, 0) AS w FROM e)
@@ -171,6 +176,9 @@ SQL = {
         CASE WHEN rotation IN (90, 270) THEN h ELSE w END AS page_width_px, CASE WHEN rotation IN (90, 270) THEN w ELSE h END AS page_height_px FROM p""",
     "page_markdown": f"""WITH {_E}, k AS (SELECT *, coalesce(text, '') AS t FROM e)
         SELECT doc_id, string_agg({_BODY}, chr(10) ORDER BY page_index, coalesce(y1, 0), coalesce(x1, 0), entry_idx) AS markdown FROM k WHERE t <> '' OR category IN ('Image', 'Figure') GROUP BY doc_id""",
+    "entry_clusters": f"WITH RECURSIVE {_LINKED} SELECT doc_id, page_index, entry_idx, min(root) AS cluster FROM c GROUP BY ALL",
+    "cluster_boxes": f"""WITH RECURSIVE {_LINKED}, m AS (SELECT doc_id, page_index, entry_idx, min(root) AS cluster FROM c GROUP BY ALL)
+        SELECT doc_id, page_index, cluster, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n_entries FROM m JOIN f USING (doc_id, page_index, entry_idx) GROUP BY ALL""",
     "page_windows": f"WITH {_E} SELECT doc_id, CAST(floor(page_index / 4) AS INTEGER) AS window_no, count(DISTINCT page_index) AS n_pages, count(*) AS n_entries FROM e GROUP BY ALL",
     "empty_documents": f"""WITH {_E}, t AS (SELECT doc_id, count(*) AS n_entries, count(*) FILTER (trim(coalesce(text, '')) = '') AS n_empty FROM e WHERE coalesce(category, '') NOT IN ('Image', 'Figure', 'Picture') GROUP BY ALL)
         SELECT * FROM t WHERE n_entries > 2 AND n_empty > 0.02 * n_entries""",

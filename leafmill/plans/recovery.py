@@ -115,7 +115,7 @@ def entry_sizes(spark, folder):
 
 def markdown_cells(spark, folder):
     """Cells of the Markdown tables of documents."""
-    docs = table(spark, folder, "documents").where(F.col("text").rlike(r"(?m)^\|.*\|$"))
+    docs = table(spark, folder, "documents").where(F.col("text").rlike(r"(?md)^\|.*\|$"))
     rows = docs.select("doc_id", F.posexplode(blocks.markdown_rows(F.col("text"))).alias("row_no", "cells"))
     return rows.select("doc_id", "row_no", F.posexplode("cells").alias("col_no", "cell"))
 
@@ -157,5 +157,9 @@ SQL = {
     "diagram_lines": f"""WITH {_PAGES}, l AS (SELECT doc_id, page_index, entry_idx, region_idx, CAST(i AS INTEGER) AS line_no, json_extract(ls, '$[' || i || ']') AS l
         FROM (SELECT *, json_extract(r, '$.lines') AS ls FROM regions WHERE json_type(r) = 'OBJECT'), LATERAL (SELECT unnest(range(CAST(json_array_length(ls) AS BIGINT))) AS i) WHERE json_type(ls) = 'ARRAY')
         SELECT doc_id, page_index, entry_idx, region_idx, line_no, l ->> '$.text' AS text, round(CAST(l ->> '$.conf' AS DOUBLE), 4) AS conf FROM l WHERE CAST(l ->> '$.conf' AS DOUBLE) >= 0.45 AND regexp_matches(l ->> '$.text', '\\p{{L}}')""",
+    "markdown_cells": r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE regexp_matches(text, '(?m)^\|.*\|$')),
+        t AS (SELECT doc_id, list_filter(list_transform(list_filter(ls, lambda x: contains(x, '|') AND NOT regexp_full_match(x, '[\s|:-]+')), lambda x: list_transform(string_split(regexp_replace(trim(x), '^\||\|$', '', 'g'), '|'), lambda c: trim(c))), lambda r: len(list_filter(r, lambda c: c <> '')) > 0) AS rs FROM d),
+        r AS (SELECT doc_id, CAST(i AS INTEGER) AS row_no, rs[i + 1] AS cs FROM t, LATERAL (SELECT unnest(range(len(rs))) AS i))
+        SELECT doc_id, row_no, CAST(k AS INTEGER) AS col_no, cs[k + 1] AS cell FROM r, LATERAL (SELECT unnest(range(len(cs))) AS k)""",
     "event_frames": """SELECT event_id, unnest([0, 1, 2]) AS frame_no, unnest([event_type, '', 'end']) AS event, unnest([props, '', CAST(event_id AS VARCHAR)]) AS data FROM events""",
 }

@@ -191,6 +191,12 @@ _CELLS2 = _CELLS.replace("c AS", "c2 AS", 1).replace("r AS", "r2 AS", 1).replace
 _SPANS = """o AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS r, CAST(count(*) OVER (PARTITION BY o_custkey) AS INTEGER) AS n FROM orders),
     c AS (SELECT CAST(o_custkey AS VARCHAR) AS table_id, r AS row_no, 0 AS col_no, 'c' || o_custkey AS text, 1 AS colspan, n AS rowspan FROM o WHERE r = 0
         UNION ALL SELECT CAST(o_custkey AS VARCHAR), r, unnest([1, 2, 4]), unnest([CAST(o_orderkey AS VARCHAR), o_orderstatus, CAST(o_totalprice AS VARCHAR)]), unnest([1, 2, 1]), 1 FROM o)"""
+# The tables of pages, cell by cell: their markup is flat and their spans are all one, so a cell's place is its count.
+_PAGE_CELLS = r"""t AS (SELECT DISTINCT ON (doc_id, page_index, entry_idx) doc_id || '/' || page_index || '/' || entry_idx AS table_id, text FROM page_entries WHERE contains(lower(text), '<table')),
+    r AS (SELECT table_id, CAST(i AS INTEGER) AS row_no, rs[i + 1] AS tr FROM (SELECT table_id, regexp_extract_all(text, '(?is)<tr[^>]*>(.*?)</tr>', 1) AS rs FROM t), LATERAL (SELECT unnest(range(len(rs))) AS i)),
+    k AS (SELECT table_id, row_no, regexp_extract_all(tr, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1) AS cs, regexp_extract_all(tr, '(?i)<t[dh]([^>]*)>', 1) AS tags FROM r),
+    c AS (SELECT table_id, row_no, CAST(k AS INTEGER) AS pos, trim(replace(replace(replace(regexp_replace(cs[k + 1], '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS text,
+        coalesce(TRY_CAST(regexp_extract(tags[k + 1], '(?i)colspan="?(\d+)', 1) AS INTEGER), 1) AS colspan, coalesce(TRY_CAST(regexp_extract(tags[k + 1], '(?i)rowspan="?(\d+)', 1) AS INTEGER), 1) AS rowspan FROM k, LATERAL (SELECT unnest(range(len(cs))) AS k))"""
 SQL = {
     "order_table_cells": f"WITH {_CELLS} SELECT table_id, row_no, col_no, text FROM c",
     "order_table_health": f"WITH {_ROWS} SELECT CAST(l_orderkey AS VARCHAR) AS table_id, 3 AS cols, CAST(count(*) AS INTEGER) AS n_rows, CAST(count(*) AS INTEGER) AS full_rows, CAST(3 * count(*) AS INTEGER) AS emitted, CAST(3 * count(*) AS INTEGER) AS placed, CAST(3 AS INTEGER) AS widest_row, true AS healthy FROM r GROUP BY l_orderkey",
@@ -205,6 +211,12 @@ SQL = {
     "span_table_cells": f"WITH {_SPANS} SELECT table_id, row_no, col_no, text, colspan, rowspan FROM c",
     "span_table_squares": f"""WITH {_SPANS}, s AS (SELECT table_id, row_no AS cell_row, col_no AS cell_col, unnest(range(row_no, row_no + rowspan)) AS row_no, col_no, colspan FROM c)
         SELECT table_id, cell_row, cell_col, CAST(row_no AS INTEGER) AS row_no, CAST(unnest(range(col_no, col_no + colspan)) AS INTEGER) AS col_no FROM s""",
+    "table_raw_cells": f"WITH {_PAGE_CELLS} SELECT table_id, row_no, pos, text, colspan, rowspan, false AS is_header, CAST(0 AS INTEGER) AS images FROM c",
+    "table_cells": f"WITH {_PAGE_CELLS} SELECT table_id, row_no, pos AS col_no, text, colspan, rowspan, false AS is_header, CAST(0 AS INTEGER) AS images, false AS nested FROM c",
+    "canonical_columns": f"""WITH {_PAGE_CELLS}, n AS (SELECT table_id, count(DISTINCT row_no) AS n FROM c GROUP BY 1) SELECT table_id, pos AS col_no FROM c JOIN n USING (table_id) GROUP BY table_id, pos HAVING count(DISTINCT row_no) = any_value(n)""",
+    "covered_squares": f"WITH {_PAGE_CELLS} SELECT table_id, count(*) AS n_squares FROM c GROUP BY table_id",
+    "table_health": f"""WITH {_PAGE_CELLS}, w AS (SELECT table_id, row_no, count(*) AS w FROM c GROUP BY ALL), h AS (SELECT table_id, CAST(max(w) AS INTEGER) AS cols, CAST(count(*) AS INTEGER) AS n_rows, CAST(sum(w) AS INTEGER) AS emitted FROM w GROUP BY 1)
+        SELECT table_id, cols, n_rows, (SELECT CAST(count(*) AS INTEGER) FROM w WHERE w.table_id = h.table_id AND w.w = h.cols) AS full_rows, emitted, emitted AS placed, cols AS widest_row, false AS degenerate, false AS truncated, false AS missing_columns, true AS healthy FROM h""",
     "order_chains": """WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS table_id, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey // 2) AS page_index, o_orderkey AS entry_idx, o_orderkey % 100 AS y1, 3 + o_orderkey % 2 AS cols, o_orderstatus = 'P' AS has_head FROM orders),
         f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY entry_idx) = 1 AS first, lag(cols) OVER (PARTITION BY doc_id ORDER BY page_index, entry_idx) AS before FROM t),
         s AS (SELECT *, CASE WHEN first AND before = cols AND NOT has_head AND y1 - 10 <= 60 THEN 0 ELSE 1 END AS start FROM f),

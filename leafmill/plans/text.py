@@ -159,6 +159,9 @@ SQL = {
     "unit_outcomes": f"WITH {_U} SELECT doc_id, count(*) AS n_units, count(*) FILTER (length(unit) >= 100) AS n_fell_back, bool_and(length(unit) >= 100) AS failed FROM u WHERE wanted GROUP BY doc_id",
     "window_totals": f"""WITH {_U}, w AS (SELECT doc_id, CAST(page_index // 2 AS INTEGER) AS window_no, count(*) AS n, count(*) FILTER (length(unit) >= 100) AS f FROM u WHERE wanted GROUP BY ALL)
         SELECT doc_id, window_no, CAST(sum(n) OVER o AS BIGINT) AS n_units, CAST(sum(f) OVER o AS BIGINT) AS n_fell_back FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY window_no)""",
+    "repeated_tails": f"""WITH {_E}, t AS (SELECT doc_id, page_index, entry_idx, right(coalesce(text, ''), 500) AS t FROM e),
+        p AS (SELECT *, list_filter(range(1, length(t) // 4 + 1), lambda p: CAST(floor(4 + 12.0 / p) + 1 AS INTEGER) * p <= length(t) AND right(t, CAST(floor(4 + 12.0 / p) AS INTEGER) * p) = left(right(t, CAST(floor(4 + 12.0 / p) + 1 AS INTEGER) * p), CAST(floor(4 + 12.0 / p) AS INTEGER) * p)) AS ps FROM t)
+        SELECT doc_id, page_index, entry_idx, CAST(ps[1] AS INTEGER) AS period FROM p WHERE len(ps) > 0""",
     "residual_units": f"WITH {_U} SELECT doc_id, page_index, entry_idx, part_idx, unit AS result FROM u WHERE wanted AND length(unit) > 40 AND regexp_matches(unit, '{_CJK}')",
     "pages_resumed": f"""WITH {_E}, t AS (SELECT source_document_id, max(pages_done) AS pages_done, max(page_count) AS page_count FROM (SELECT DISTINCT ON (id) * FROM translations) WHERE pages_done IS NOT NULL GROUP BY 1),
         c AS (SELECT d.doc_id, t.pages_done FROM t JOIN documents d ON d.id = t.source_document_id WHERE t.pages_done > 0 AND t.pages_done <= t.page_count AND t.page_count = d.page_count)
