@@ -100,6 +100,32 @@ def full_columns(tables: DataFrame) -> DataFrame:
     return _mapped(tables, columns, "table_id string, col_no int")
 
 
+def header_groups(tables: DataFrame) -> DataFrame:
+    """table_id, col_no, width of the filled cells of each table's first row, stretched over the empty ones to their right that the row below fills."""
+    return _mapped(tables, lambda key, text: ((key, c, w) for c, w in G.headers_over_groups(G.build(read_table(text)))), "table_id string, col_no int, width int")
+
+
+def pictures_placed(tables: DataFrame, pictures: DataFrame) -> DataFrame:
+    """table_id, picture_no, row_no, col_no: the cell of each picture that finds one, for ``tables(table_id, html, width, height)`` and ``pictures(table_id, picture_no, x, y)`` by their centres within the table.
+
+    The nearest pairs first, each cell taking as many as it names images. A
+    table's pictures are listed beside it; the table bounds the list.
+    """
+    listed = pictures.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("picture_no", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("ps"))
+    rows = tables.select("table_id", F.col("html").cast("string"), F.col("width").cast("double"), F.col("height").cast("double")).join(listed, "table_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, text, width, height, ps in zip(*(c.to_pylist() for c in batch.columns)):
+                placed = G.pictures_to_cells(G.build(read_table(text)), [(p["x"], p["y"]) for p in ps], width, height)
+                out += [(key, ps[i]["picture_no"], row, col) for i, row, col in placed]
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.int32()))], names=["table_id", "picture_no", "row_no", "col_no"])
+
+    return rows.mapInArrow(run, "table_id string, picture_no int, row_no int, col_no int")
+
+
 def _score(h: dict) -> tuple:
     share = lambda a, b: round(a / b, 3) if b else 0.0
     return (not h["degenerate"], not h["missing_columns"], share(h["placed"], h["emitted"]), share(h["full_rows"], h["n_rows"]), h["placed"])

@@ -16,6 +16,11 @@ def _entries(spark, folder):
     return layout.entries(table(spark, folder, "page_entries"))
 
 
+def _by_document(spark, folder):
+    """Entries for what groups by document: spread by it alone, so that nothing is shuffled again."""
+    return layout.entries(table(spark, folder, "page_entries"), ("doc_id",))
+
+
 def entries_clean(spark, folder):
     """Every entry once, with corners, category and angle in one form."""
     return _entries(spark, folder).select(*layout.ENTRY, "category", "x1", "y1", "x2", "y2", "rotation", "zoom")
@@ -85,15 +90,15 @@ def entries_derotated(spark, folder):
 
 
 def page_markdown(spark, folder):
-    return layout.markdown(_entries(spark, folder))
+    return layout.markdown(_by_document(spark, folder))
 
 
 def page_windows(spark, folder):
-    return layout.page_windows(_entries(spark, folder), 4)
+    return layout.page_windows(_by_document(spark, folder), 4)
 
 
 def empty_documents(spark, folder):
-    return layout.empty_share(_entries(spark, folder), 2, 0.02)
+    return layout.empty_share(_by_document(spark, folder), 2, 0.02)
 
 
 def entry_units(spark, folder):

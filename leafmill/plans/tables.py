@@ -67,6 +67,31 @@ def order_table_weights(spark, folder):
     return tables.weights(_order_tables(spark, folder))
 
 
+def name_table_weights(spark, folder):
+    """Column weights of tables of fifty parts each: a name of two words and a sentence that holds it."""
+    p = table(spark, folder, "part").select((F.floor(F.col("p_partkey") / 50)).alias("k"), "p_partkey", "p_name", F.concat_ws(" ", "p_name", "p_type", F.lit("with"), "p_brand", F.lit("of"), "p_size").alias("said"))
+    p = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    tr = F.concat(F.lit("<tr>"), _tag("td", "p_name", "said"), F.lit("</tr>"))
+    listed = p.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p_partkey", tr.alias("tr")))).alias("rs"))
+    return tables.weights(listed.select(F.col("k").cast("string").alias("table_id"), F.concat(F.lit("<table>"), F.array_join("rs.tr", ""), F.lit("</table>")).alias("html")))
+
+
+def picture_cells(spark, folder):
+    """The cells of pictures that stand where each order's table has them, a row for each line."""
+    li = _lines(spark, folder).select("l_orderkey", F.col("l_linenumber").alias("n")).distinct()
+    listed = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("n")).alias("ns"))
+    html = F.concat(F.lit("<table>"), F.array_join(F.transform("ns", lambda n: F.concat(F.lit("<tr><td>"), n.cast("string"), F.lit("</td><td><img src='x'/></td></tr>"))), ""), F.lit("</table>"))
+    key = F.col("l_orderkey").cast("string").alias("table_id")
+    pictures = listed.select(key, F.posexplode("ns").alias("at", "picture_no")).select("table_id", F.col("picture_no").cast("int").alias("picture_no"), F.lit(75.0).alias("x"), (F.col("at") * 10.0 + 4.0).alias("y"))
+    return tables.pictures_placed(listed.select(key, html.alias("html"), F.lit(100.0).alias("width"), (F.size("ns") * 10.0).alias("height")), pictures)
+
+
+def header_groups(spark, folder):
+    """First rows of orders' tables whose one name stands over all columns."""
+    t = _order_tables(spark, folder)
+    return tables.header_groups(t.withColumn("html", F.replace("html", F.lit("<table>"), F.lit("<table><tr><th>lines</th><th></th><th></th></tr>"))))
+
+
 def _readings(spark, folder):
     """Both readings of each order's table, listed by one aggregation."""
     cells = lambda flag: F.concat(F.lit("<tr>"), F.concat(*(x for c in (F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), flag) for x in (F.lit("<td>"), c, F.lit("</td>")))), F.lit("</tr>"))
@@ -177,7 +202,7 @@ def grid_golden(spark, folder):
     return tables.cells(t).select("table_id", "row_no", "col_no", "text", "colspan", "rowspan")
 
 
-_NAMES = """table_raw_cells table_cells table_health order_table_cells order_table_health run_together_health order_table_weights content_kept reading_better reading_taken span_table_cells span_table_squares
+_NAMES = """table_raw_cells table_cells table_health order_table_cells order_table_health run_together_health order_table_weights name_table_weights picture_cells header_groups content_kept reading_better reading_taken span_table_cells span_table_squares
 canonical_columns covered_squares order_chains page_chains grid_golden""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 assert G.MOST_COLUMNS == 40
@@ -203,6 +228,12 @@ SQL = {
     "run_together_health": """WITH s AS (SELECT CAST(l_suppkey AS VARCHAR) AS table_id, CAST(2 * count(*) AS INTEGER) AS n FROM lineitem GROUP BY l_suppkey)
         SELECT table_id, least(n, 40) AS cols, 1 AS n_rows, n AS emitted, least(n, 40) AS placed, n AS widest_row, n <= 40 AS healthy FROM s""",
     "order_table_weights": f"WITH {_CELLS} SELECT table_id, col_no, CAST(max(length(text)) AS INTEGER) AS weight FROM c GROUP BY table_id, col_no",
+    "name_table_weights": """WITH p AS (SELECT CAST(p_partkey // 50 AS VARCHAR) AS table_id, p_partkey, unnest([0, 1]) AS col_no, unnest([p_name, p_name || ' ' || p_type || ' with ' || p_brand || ' of ' || p_size]) AS t FROM part),
+        w AS (SELECT table_id, col_no, length(t) AS w, list_max(list_transform(string_split(t, ' '), lambda x: length(x))) AS word, CASE WHEN length(t) <= 16 THEN ceil(length(t) / 2) ELSE least(22, ceil(length(t) / 16)) END AS strip FROM p)
+        SELECT table_id, col_no, CAST(greatest(max(word), max(strip), round_even(quantile_cont(w, 0.75) FILTER (w > 1), 0)) AS INTEGER) AS weight FROM w GROUP BY ALL""",
+    "picture_cells": """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+        SELECT CAST(l_orderkey AS VARCHAR) AS table_id, CAST(l_linenumber AS INTEGER) AS picture_no, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS row_no, CAST(1 AS INTEGER) AS col_no FROM l""",
+    "header_groups": "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS table_id, 0 AS col_no, 3 AS width FROM lineitem",
     "content_kept": f"""WITH {_CHANGED}, {_CELLS}, {_CELLS2}, a AS (SELECT table_id, lower(text) AS v, count(*) AS n FROM c GROUP BY ALL), b AS (SELECT table_id, lower(text) AS v, count(*) AS m FROM c2 GROUP BY ALL)
         SELECT table_id, bool_and(m IS NOT NULL AND n - m <= greatest(3, floor(n * 0.25))) AS kept FROM a LEFT JOIN b USING (table_id, v) GROUP BY table_id""",
     "reading_better": f"""WITH {_CHANGED}, {_ROWS}, a AS (SELECT l_orderkey, count(*) AS n FROM r GROUP BY 1), b AS (SELECT l_orderkey, count(*) AS m FROM lineitem2 GROUP BY 1)

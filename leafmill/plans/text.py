@@ -10,7 +10,7 @@ from leafmill.sources import table
 
 
 def _entries(spark, folder):
-    return layout.entries(table(spark, folder, "page_entries")).select(*layout.ENTRY, "category", "text")
+    return layout.entries(table(spark, folder, "page_entries"), ("doc_id",)).select(*layout.ENTRY, "category", "text")
 
 
 def entry_scripts(spark, folder):
