@@ -66,10 +66,10 @@ def scan_types(spark, folder):
 
 def diagram_lines(spark, folder):
     """Lines of diagram regions that were read surely enough and hold a letter."""
-    bridge = nested.occurrences(table(spark, folder, "documents")).where("kind = 'region' and object_id is not null")
-    lines = F.from_json(F.get_json_object("payload", "$.lines"), "array<struct<text:string,conf:double>>")
-    rows = bridge.select("doc_id", "page_index", "entry_idx", "region_idx", F.posexplode(lines).alias("line_no", "l"))
-    return rows.where((F.col("l.conf") >= 0.45) & X.worth_translating(F.col("l.text"))).select("doc_id", "page_index", "entry_idx", "region_idx", "line_no", F.col("l.text").alias("text"), F.round("l.conf", 4).alias("conf"))
+    parts = nested.flat_tables(nested.occurrences(table(spark, folder, "documents")))["parts"].where("region_idx >= 0")
+    lines = parts.withColumn("line_no", F.regexp_extract("path", r"^/lines/(\d+)$", 1).try_cast("int")).where("line_no is not null")
+    conf = F.get_json_object("fields", "$.conf").try_cast("double")
+    return lines.where((conf >= 0.45) & X.worth_translating(F.col("text"))).select("doc_id", "page_index", "entry_idx", "region_idx", "line_no", "text", F.round(conf, 4).alias("conf"))
 
 
 def _plain(kind):

@@ -34,7 +34,7 @@ def test_query(spark, folder, name):
     if name not in SQL:
         return
     con = duckdb.connect()
-    for t in ("customer", "supplier", "orders", "lineitem", "events", "documents", "page_entries", "translations", "change_feed", "runs", "users", "sessions"):
+    for t in ("customer", "supplier", "part", "orders", "lineitem", "events", "documents", "page_entries", "translations", "change_feed", "runs", "users", "sessions"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     cursor = con.execute(SQL[name])
     given = [c[0] for c in cursor.description]
