@@ -33,14 +33,19 @@ def caption_owners(spark, folder):
     return recovery.captions(_entries(spark, folder), 200.0)
 
 
+def _forms(spark, folder):
+    """Entries as lines of forms: every third names a pair of options after its text, every ninth shows a box."""
+    return _entries(spark, folder).withColumn("text", F.when(F.col("entry_idx") % 9 == 0, F.concat("text", F.lit(": ☐ yes no"))).when(F.col("entry_idx") % 3 == 0, F.concat("text", F.lit(": Pass / Fail"))).otherwise(F.col("text")))
+
+
 def box_candidates(spark, folder):
-    """Entries that speak of boxes and show none."""
-    return recovery.box_candidates(_entries(spark, folder)).select(*layout.ENTRY)
+    """Lines of forms that name a pair of options and show no box."""
+    return recovery.box_candidates(_forms(spark, folder)).select(*layout.ENTRY)
 
 
 def boxes_taken(spark, folder):
     """Second readings with boxes that keep the first one's words; every other reading loses one."""
-    e = recovery.box_candidates(_entries(spark, folder)).select(*layout.ENTRY, "text")
+    e = recovery.box_candidates(_forms(spark, folder)).select(*layout.ENTRY, "text")
     new = e.select(*layout.ENTRY, F.when(F.col("entry_idx") % 2 == 0, F.concat(F.lit("☑ "), "text")).otherwise(F.lit("☑ other")).alias("new_text"))
     return recovery.taken_boxes(e, new)
 
@@ -124,6 +129,7 @@ _NAMES = "entry_sizes markdown_cells zone_styles caption_owners box_candidates b
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _HINT = "|".join(X.OPTION_PAIRS)
+_FORMS = "SELECT * REPLACE (CASE WHEN entry_idx % 9 = 0 THEN text || ': ☐ yes no' WHEN entry_idx % 3 = 0 THEN text || ': Pass / Fail' ELSE text END AS text) FROM e"
 _GAP = "greatest(b.y1 - a.y2, a.y1 - b.y2, 0)"
 SQL = {
     "entry_sizes": f"""WITH {_E}, w AS (SELECT *, trim(text) AS t, length(trim(text)) + len(regexp_extract_all(coalesce(text, ''), '[぀-ヿ㐀-䶿一-鿿가-힣豈-﫿]')) AS n FROM e WHERE x1 IS NOT NULL),
@@ -150,8 +156,8 @@ SQL = {
         SELECT doc_id, page_index, min(y1) AS position, count(*) AS n_rules FROM n GROUP BY doc_id, page_index, run""",
     "scan_types": f"""WITH {_E}, p AS (SELECT doc_id, page_index, length(string_agg(trim(text), chr(10)) FILTER (trim(coalesce(text, '')) <> '')) AS n FROM e GROUP BY ALL)
         SELECT doc_id, CASE WHEN bool_or(coalesce(n, 0) >= 32) THEN 'native' ELSE 'scanned' END AS scan_type FROM p GROUP BY doc_id""",
-    "box_candidates": f"""WITH {_E} SELECT doc_id, page_index, entry_idx FROM e WHERE category IN {recovery.FORM_CATEGORIES} AND regexp_matches(text, '{_HINT}') AND NOT regexp_matches(text, '[☐-☒○●◯✓✔✗✘]|(?i:<input\\b)')""",
-    "boxes_taken": f"""WITH {_E}, c AS (SELECT * FROM e WHERE category IN {recovery.FORM_CATEGORIES} AND regexp_matches(text, '{_HINT}') AND NOT regexp_matches(text, '[☐-☒○●◯✓✔✗✘]|(?i:<input\\b)'))
+    "box_candidates": f"""WITH {_E}, o AS ({_FORMS}) SELECT doc_id, page_index, entry_idx FROM o WHERE category IN {recovery.FORM_CATEGORIES} AND regexp_matches(text, '{_HINT}') AND NOT regexp_matches(text, '[☐-☒○●◯✓✔✗✘]|(?i:<input\\b)')""",
+    "boxes_taken": f"""WITH {_E}, o AS ({_FORMS}), c AS (SELECT * FROM o WHERE category IN {recovery.FORM_CATEGORIES} AND regexp_matches(text, '{_HINT}') AND NOT regexp_matches(text, '[☐-☒○●◯✓✔✗✘]|(?i:<input\\b)'))
         SELECT doc_id, page_index, entry_idx, CASE WHEN entry_idx % 2 = 0 THEN '☑ ' || text ELSE '☑ other' END AS new_text FROM c
         WHERE entry_idx % 2 = 0 OR contains('other', regexp_replace(lower(text), '[^0-9a-z㐀-䶿一-鿿]', '', 'g'))""",
     "diagram_lines": f"""WITH {_PAGES}, l AS (SELECT doc_id, page_index, entry_idx, region_idx, CAST(i AS INTEGER) AS line_no, json_extract(ls, '$[' || i || ']') AS l
