@@ -6,16 +6,18 @@ every earlier one's, or if it equals the latest and its status differs from
 that of the last change. A change's key is (tab, rec_id) and its version the
 delivery's ``feed_id``.
 
-A run rereads from the oldest transaction still open at the last successful
-run: a transaction whose ``updated_at`` lies at or before that run's start but
-whose delivery arrived after it. The overlap that this rereads is removed by
+A run selects by ``updated_at``: of the deliveries that have arrived by its
+start it reads those later than the last successful run's start. That alone
+would lose each transaction still open at that run, whose ``updated_at`` lies
+at or before the run's start but whose delivery arrived after it; so a run
+rereads from the oldest of them on. The overlap that this rereads is removed by
 an anti-join of key and version against the ledger of what earlier runs
 processed. A replay of a whole history does the same for all runs at once: a
 ledger row carries its run, and a run meets the rows of earlier runs only. A failed or unfinished run writes no ledger rows, so its records
 fall to the next successful run.
 
-Defined results: a null ``updated_at`` counts as before all others; null
-status is a status of its own; deliveries without ``arrived_at`` or record are
+Defined results: a null ``updated_at`` counts as before all others, and is
+read by its arrival; null status is a status of its own; deliveries without ``arrived_at`` or record are
 never covered; repeated deliveries with one ``feed_id`` count once in the
 result; empty tables give no rows; other columns are ignored.
 """
@@ -25,7 +27,7 @@ from __future__ import annotations
 import datetime as dt
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["tab", "rec_id"]
@@ -69,9 +71,9 @@ def changes(feed: DataFrame, chunk: str = "day") -> DataFrame:
 
 
 def reread_spans(feed: DataFrame, runs: DataFrame, longest_list: int = 100_000) -> DataFrame:
-    """run_id, ordinal, low, high: arrivals that each successful run reads again or anew, as (low, high].
+    """run_id, ordinal, low, high: each successful run reads what has arrived by ``high`` and has an ``updated_at`` of ``low`` or later.
 
-    ``high`` is the run's start. ``low`` is the earliest begin of a transaction
+    ``high`` is the run's start. ``low`` never falls from run to run. It is the earliest begin of a transaction
     open at the previous successful run: the least ``updated_at`` at or before
     that run's start among deliveries that arrived after it, or the start
     itself if none was open. The runs are one row per execution of a schedule;
@@ -101,13 +103,13 @@ def reread_spans(feed: DataFrame, runs: DataFrame, longest_list: int = 100_000)
 
 
 def readers(spans: DataFrame) -> list[tuple]:
-    """after, upto, first, again for each stretch of arrivals in (after, upto]: the run that reads it first and the first run that reads it once more.
+    """after, upto, first, again, last for each stretch of time in (after, upto]: the run that reads it anew, and the first and last run that read it again.
 
-    A run reads (start of the run before, own start] for the first time and
-    [low, start of the run before] again. Runs that read a stretch a third time
-    meet the same ledger rows as the one that reads it twice, so a change has
-    at most two candidates, however long a transaction was open. The earliest
-    stretch has no ``after`` and is read once.
+    Of ``updated_at`` a run reads (start of the run before, own start] anew and
+    [low, start of the run before] again. As ``low`` never falls, all runs from
+    ``again`` to ``last`` read the stretch. The earliest stretch has no
+    ``after`` and is not read again. Of an arrival, ``first`` is the first run
+    that finds it.
     """
     tick = dt.timedelta(microseconds=1)
     rows = sorted((r.ordinal, None if r.low is None else r.low - tick, r.high) for r in spans.collect())
@@ -115,39 +117,61 @@ def readers(spans: DataFrame) -> list[tuple]:
     waiting = sorted(((low, k) for k, low, _ in rows if low is not None), reverse=True)
     before = {k: h for (k, _, _), (_, _, h) in zip(rows[1:], rows)}
     active: list[int] = []
-    out, fresh, after = [], 0, None
+    out, fresh, last, after = [], 0, 0, None
     for upto in ends:
         while after is not None and waiting and waiting[-1][0] <= after:
-            heapq.heappush(active, waiting.pop()[1])
+            k = waiting.pop()[1]
+            heapq.heappush(active, k)
+            last = max(last, k)
         while active and before[active[0]] < upto:
             heapq.heappop(active)
         while rows[fresh][2] < upto:
             fresh += 1
-        out.append((after, upto, rows[fresh][0], active[0] if active else None))
+        out.append((after, upto, rows[fresh][0], active[0] if active else None, last if active else None))
         after = upto
     return out
 
 
 def candidates(changed: DataFrame, spans: DataFrame) -> DataFrame:
-    """ordinal, fresh and change for each change that a run reads, for the first time or once more; the ledger's pairs are not yet removed.
+    """ordinal, fresh and change for each change and the first run that reads it anew (``fresh``), and the first that reads it again; the ledger's pairs are not yet removed.
 
-    Stretches are cut by day, so the join is on the day with a residual range;
-    what lies in the earliest stretch meets its one run by a filter.
+    A change that arrived late is read again only, by the run that first finds
+    it; any other is read anew, and again while a transaction is open. Further
+    runs that read it the same way meet the ledger row of the first, so a
+    change has at most two candidates, however long a transaction was open.
+
+    Stretches are cut by day, so the joins are on the day with a residual
+    range; what lies in the earliest stretch meets its one run by a condition.
     """
     stretches = readers(spans)  # at most two for each run
-    rows = changed.withColumn("at", F.col("arrived_at").cast("timestamp_ntz"))
     if not stretches:
-        return rows.where("false").select(F.lit(0).alias("ordinal"), F.lit(True).alias("fresh"), *changed.columns)
-    _, upto, first, _ = stretches[0]
-    table = changed.sparkSession.createDataFrame(stretches[1:], "after timestamp_ntz, upto timestamp_ntz, first int, again int")
+        return changed.where("false").select(F.lit(0).alias("ordinal"), F.lit(True).alias("fresh"), *changed.columns)
+    _, earliest, oldest, _, _ = stretches[0]
+    table = changed.sparkSession.createDataFrame(stretches[1:], "after timestamp_ntz, upto timestamp_ntz, first int, again int, last int")
     table = table.withColumn("day", F.explode(F.sequence(F.to_date("after"), F.to_date("upto"))))
-    read = F.array(F.struct(F.col("first").alias("ordinal"), F.lit(True).alias("fresh")), F.struct(F.col("again").alias("ordinal"), F.lit(False).alias("fresh")))
-    near = (
-        rows.withColumn("day", F.to_date("at")).join(F.broadcast(table), "day").where("at > after and at <= upto")
+    rows = changed.withColumn("at", F.col("arrived_at").cast("timestamp_ntz")).withColumn("begun", _begun())
+
+    def met(rows: DataFrame, time: str) -> DataFrame:
+        cut = F.broadcast(table.select(*(F.col(c).alias(f"{time}_{c}") for c in table.columns)))
+        here = (F.to_date(time) == F.col(f"{time}_day")) & (F.col(time) > F.col(f"{time}_after")) & (F.col(time) <= F.col(f"{time}_upto"))
+        first = F.when(F.col(time) <= F.lit(earliest).cast("timestamp_ntz"), F.lit(oldest)).otherwise(F.col(f"{time}_first"))
+        return rows.join(cut, here, "left").withColumn(f"{time}_first", first)
+
+    found, again = F.col("at_first"), F.greatest("at_first", "begun_again")
+    anew = F.coalesce("begun_first", F.lit(stretches[-1][2]))  # later than all runs: new to each of them
+    read = F.array(
+        F.struct(F.when(found <= anew, found).alias("ordinal"), F.lit(True).alias("fresh")),
+        F.struct(F.when(again <= F.col("begun_last"), again).alias("ordinal"), F.lit(False).alias("fresh")),
+    )
+    return (
+        met(met(rows, "at").where("at_first is not null"), "begun")
         .withColumn("read", F.explode(read)).select("read.*", *changed.columns).where("ordinal is not null")
     )
-    oldest = rows.where(F.col("at") <= F.lit(upto).cast("timestamp_ntz")).select(F.lit(first).alias("ordinal"), F.lit(True).alias("fresh"), *changed.columns)
-    return oldest.unionByName(near)
+
+
+def _begun() -> Column:
+    """The time by which a run selects a delivery."""
+    return F.coalesce("updated_at", "arrived_at").cast("timestamp_ntz")
 
 
 def unprocessed(read: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -163,12 +187,11 @@ def replay(feed: DataFrame, runs: DataFrame) -> DataFrame:
     """run_id, tab, rec_id: what each successful run of a history covers, one row for each run and record.
 
     All runs at once: every run reads its candidates and anti-joins them with
-    the ledger's rows of earlier runs, which are what those read first.
+    the ledger's rows of earlier runs, which are what those read.
     """
     spans = reread_spans(feed, runs)
-    read = candidates(changes(feed), spans)
-    ledger = read.where("fresh").select(*LEDGER, "ordinal")
-    owner = unprocessed(read.select(*LEDGER, "ordinal"), ledger).select("ordinal", *KEY).distinct()
+    read = candidates(changes(feed), spans).select(*LEDGER, "ordinal")
+    owner = unprocessed(read, read).select("ordinal", *KEY).distinct()
     return owner.join(F.broadcast(spans.select("ordinal", "run_id")), "ordinal").select("run_id", *KEY)
 
 
@@ -187,5 +210,5 @@ def next_batch(feed: DataFrame, runs: DataFrame, ledger: DataFrame, run_id: int)
     at = F.col("arrived_at").cast("timestamp_ntz")
     read = at <= F.lit(span.high).cast("timestamp_ntz")
     if span.low is not None:
-        read &= at >= F.lit(span.low).cast("timestamp_ntz")
+        read &= _begun() >= F.lit(span.low).cast("timestamp_ntz")
     return unprocessed(changed.where(read), ledger)

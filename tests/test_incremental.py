@@ -103,3 +103,46 @@ def test_stretches_against_all_runs(spark):
 def test_the_replay_is_an_anti_join_with_the_ledger(spark):
     plan = incremental.replay(spark.createDataFrame([(1, "d", "a", "ok", at(1), at(2), "x")], FEED), spark.createDataFrame([(1, at(5), None, "ok"), (2, at(9), None, "ok")], RUNS))._jdf.queryExecution().toString()
     assert "LeftAnti" in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+LATE = [
+    (1, "d", "on time", "a", at(12), at(14), None), (2, "d", "late", "a", at(5), at(15), None), (3, "d", "ahead", "a", at(35), at(15), None),
+    (4, "d", "no time", "a", None, at(15), None), (5, "d", "later", "a", at(11), at(25), None), (6, "d", "after all", "a", at(29), at(31), None),
+]
+TENS = [(k, at(10 * k), None, "ok") for k in (1, 2, 3)]
+
+
+def test_late_deliveries_are_found_by_rereading_only(spark, monkeypatch):
+    f, r = spark.createDataFrame(LATE, FEED), spark.createDataFrame(TENS, RUNS)
+    read = lambda feed: {(x.rec_id, x.ordinal, x.fresh) for x in incremental.candidates(incremental.changes(f), incremental.reread_spans(feed, r)).collect()}
+    anew = {("on time", 1, True), ("ahead", 1, True), ("no time", 1, True)}
+    assert read(f.where("false")) == anew
+    assert read(f) == anew | {("late", 1, False), ("later", 2, False), ("on time", 2, False), ("no time", 2, False)}
+    assert set(replay(spark, LATE, TENS)) == brute(LATE, TENS)
+    readers = incremental.readers
+    monkeypatch.setattr(incremental, "readers", lambda spans: [(*x[:3], *(None for _ in x[3:])) for x in readers(spans)])
+    assert {x[2] for x in replay(spark, LATE, TENS)} == {"on time", "ahead", "no time"}
+
+
+def test_a_run_selects_by_updated_at(spark):
+    ledger = spark.createDataFrame([(1, "d", "on time")], "version long, tab string, rec_id string")
+    batch = incremental.next_batch(spark.createDataFrame(LATE, FEED), spark.createDataFrame(TENS, RUNS), ledger, 3)
+    assert sorted(x.rec_id for x in batch.collect()) == ["ahead", "later", "no time"]
+
+
+def test_candidates_against_all_runs(spark):
+    rng = random.Random(6)
+    for _ in range(3):
+        feed = [(k, "d", f"r{k}", "a", at(rng.choice([None, m, m, m + 200])), at(m + rng.choice([0, 3, 40, 900])), None) for k in range(80) for m in [rng.randrange(0, 2000)]]
+        runs = [(k, at(rng.randrange(0, 2600)), None, "ok") for k in range(20)] + [(20, at(1000), None, "ok"), (21, at(1000), None, "ok")]
+        f = spark.createDataFrame(feed, FEED)
+        spans = incremental.reread_spans(f, spark.createDataFrame(runs, RUNS))
+        ordered = sorted(spans.collect(), key=lambda x: x.ordinal)
+        want = set()
+        for k, _, _, _, u, a, _ in feed:
+            u = u or a
+            seen = [(x.ordinal, x.ordinal == 0 or u > ordered[x.ordinal - 1].high) for x in ordered if a <= x.high and (x.low is None or u >= x.low)]
+            want |= {(k, *next(x for x in seen if x[1] is kind)) for kind in {x[1] for x in seen}}
+        got = incremental.candidates(incremental.changes(f), spans).select("version", "ordinal", "fresh").collect()
+        assert len(got) == len(set(got)) and {tuple(x) for x in got} == want
+        assert set(replay(spark, feed, runs)) == brute(feed, runs)
